@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scansmith.llm import packing, sharding, tokens, url_filter
+from scansmith.llm import decontaminate, packing, sharding, tokens, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_best_fit_packing": packing.op2_best_fit_packing,
     "op6_token_files": tokens.op6_token_files,
+    "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_url_filter": url_filter.op9_url_filter,
     "op10_sampled_sharding": sharding.op10_sampled_sharding,
 }
 
-ORACLE_SQL: dict[str, str] = {"op9_url_filter": url_filter.OP9_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op8_decontaminate": decontaminate.OP8_SQL,
+    "op9_url_filter": url_filter.OP9_SQL,
+}
