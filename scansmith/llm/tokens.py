@@ -5,18 +5,22 @@ A file set is a folder on storage that every executor mounts (spark.checkpoint.d
 ``p.offsets`` one uint64 per document and one at the end, counted from the part's first token, ``p.docs`` the int64
 document numbers. Parts are ranges of doc_id, so part bases are prefix sums of the parts' token counts (one number a part).
 
-Text is split where a space stands before a non-space; the byte-level pre-tokenizer always begins a new pre-token there, so
-the pieces encode alone as they do in the whole text. Pieces recur, and each worker keeps the IDs of a bounded number of
-them. Null text is empty and has the end ID alone. A null doc_id sorts first and is stored as -1 with a flag file.
+Text is split where a run of white space begins, and around a line feed alone; the byte-level pre-tokenizer always begins a
+new pre-token there, so the pieces encode alone as they do in the whole text. Pieces recur, and each worker keeps the IDs of
+a bounded number of them; the library encodes each piece that is not kept. Null text is empty and has the end ID alone. A null doc_id sorts first and is stored as -1 with a flag file.
 """
 
 from __future__ import annotations
 
+import itertools
+import json
 import os
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
@@ -25,11 +29,47 @@ from pyspark.sql import functions as F
 
 from scansmith.llm.common import bounded_batches, shared_folder
 
+if TYPE_CHECKING:
+    from tokenizers import Tokenizer
+
 END_ID = 2
-CACHED_PIECES = 400_000
-CACHED_CHARS = 64  # longer pieces are encoded each time
-_ODD_SPACE = re.compile(r" (?:\s|\Z)")
-_SPACE = re.compile(r" (?=\S)")
+CACHED_PIECES = 1_000_000
+CACHED_CHARS = 48  # longer pieces are encoded each time
+_ODD = re.compile(r"\s\s|[^\S \n]|\0")
+_UNSURE = re.compile(r"[\x1c-\x1f]")  # white space for Python alone
+_SEGMENT = re.compile(r"\s*\S+|\s+")
+_MARKS = ".,;:!?#%&*$|-()\""
+
+
+class _Pieces(dict):
+    """IDs of pieces of text, made when first asked for; the older half goes when there are too many."""
+
+    def __init__(self, tokenizer: Tokenizer, code: str) -> None:
+        super().__init__({"": b""})
+        self.pre, self.model, self.code = tokenizer.pre_tokenizer, tokenizer.model, code
+        # the byte-level alphabet: printable Latin-1 stands for itself, other bytes for the characters from U+0100 on
+        own = [b for b in range(256) if chr(b).isprintable() and b not in (0x20, 0xA0, 0xAD)]
+        self.alphabet = {b: b for b in own} | {b: 256 + k for k, b in enumerate(sorted({*range(256)} - {*own}))}
+
+    def _word(self, mapped: str) -> bytes:
+        return array(self.code, [t.id for t in self.model.tokenize(mapped)]).tobytes()
+
+    def __missing__(self, piece: str) -> bytes:
+        bare = piece[1:] if piece[0] == " " else piece
+        if bare.isalpha():  # one pre-token
+            ids = self._word(piece.encode().decode("latin-1").translate(self.alphabet))
+        elif (word := bare.rstrip(_MARKS)).isalpha():  # a pre-token of letters and one of marks
+            cut = len(piece) - len(bare) + len(word)
+            ids = self[piece[:cut]] + self[piece[cut:]]
+        else:
+            ids = b"".join(self._word(word) for word, _ in self.pre.pre_tokenize_str(piece))
+        if len(piece) <= CACHED_CHARS:
+            if len(self) >= CACHED_PIECES:
+                for k in list(itertools.islice(self, CACHED_PIECES // 2)):
+                    if k:
+                        del self[k]
+            self[piece] = ids
+        return ids
 
 
 class Encoder:
@@ -42,11 +82,8 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.pre, self.model = self.tokenizer.pre_tokenizer, self.tokenizer.model
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.pieces: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-        self.splits = self._splits()
+        self.pieces = _Pieces(self.tokenizer, "H" if self.dtype.itemsize == 2 else "I") if self._plain() else None
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -54,46 +91,21 @@ class Encoder:
             cls._made[path] = cls(path)
         return cls._made[path]
 
-    def _splits(self) -> bool:
+    def _plain(self) -> bool:
         """Whether this file is a plain byte-level BPE, for which encoding by pieces is exact."""
-        import json
-
         kind = json.loads(self.tokenizer.to_str())
         pre = kind.get("pre_tokenizer") or {}
         return kind["model"]["type"] == "BPE" and not kind.get("normalizer") and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
 
-    def _piece(self, piece: str) -> bytes:
-        """The IDs of a piece; kept if it is short."""
-        found = []
-        for word, _ in self.pre.pre_tokenize_str(piece):
-            ids = self.words.get(word)
-            if ids is None:
-                ids = np.array([t.id for t in self.model.tokenize(word)], self.dtype).tobytes()
-                if len(word) <= CACHED_CHARS:
-                    if len(self.words) >= CACHED_PIECES:
-                        self.words.clear()
-                    self.words[word] = ids
-            found.append(ids)
-        ids = b"".join(found)
-        if len(piece) <= CACHED_CHARS:
-            if len(self.pieces) >= CACHED_PIECES:
-                self.pieces.clear()
-            self.pieces[piece] = ids
-        return ids
-
     def encode(self, text: str) -> bytes:
         """The IDs of a whole text as bytes of self.dtype, without an end ID."""
-        if not text:
-            return b""
-        if not self.splits:
+        if self.pieces is None or _UNSURE.search(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
-        parts = text.split(" ") if not _ODD_SPACE.search(text) else _SPACE.split(text)
-        get, new = self.pieces.get, self._piece
-        out = [get(first := parts[0]) or new(first)]
-        for part in parts[1:]:
-            part = " " + part
-            out.append(get(part) or new(part))
-        return b"".join(out)
+        if _ODD.search(text):
+            pieces = _SEGMENT.findall(text)
+        else:
+            pieces = text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+        return b"".join(map(self.pieces.__getitem__, pieces))
 
 
 def crc32_u32(ids: np.ndarray) -> int:
