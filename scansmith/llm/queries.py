@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scansmith.llm import decontaminate, packing, sharding, tokens, url_filter
+from scansmith.llm import decontaminate, packing, quality, secrets, sharding, tokens, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_best_fit_packing": packing.op2_best_fit_packing,
+    "op4_secrets": secrets.op4_secrets,
+    "op5_quality": quality.op5_quality,
     "op6_token_files": tokens.op6_token_files,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_url_filter": url_filter.op9_url_filter,
     "op10_sampled_sharding": sharding.op10_sampled_sharding,
