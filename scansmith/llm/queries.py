@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scansmith.llm import decontaminate, packing, quality, secrets, sharding, tokens, toxicity, url_filter
+from scansmith.llm import decontaminate, neighbours, packing, quality, secrets, sharding, tokens, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_neighbours": neighbours.op1_neighbours,
     "op2_best_fit_packing": packing.op2_best_fit_packing,
     "op4_secrets": secrets.op4_secrets,
     "op5_quality": quality.op5_quality,
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_neighbours": neighbours.OP1_SQL,
     "op8_decontaminate": decontaminate.OP8_SQL,
     "op9_url_filter": url_filter.OP9_SQL,
 }
