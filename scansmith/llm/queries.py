@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scansmith.llm import decontaminate, neighbours, packing, quality, secrets, sharding, tokens, toxicity, url_filter
+from scansmith.llm import decontaminate, near_dup, neighbours, packing, quality, secrets, sharding, tokens, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_neighbours": neighbours.op1_neighbours,
     "op2_best_fit_packing": packing.op2_best_fit_packing,
+    "op3_near_dup": near_dup.op3_near_dup,
     "op4_secrets": secrets.op4_secrets,
     "op5_quality": quality.op5_quality,
     "op6_token_files": tokens.op6_token_files,
