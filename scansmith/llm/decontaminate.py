@@ -110,9 +110,9 @@ def hit_places(docs: DataFrame, windows: DataFrame, window: int = WINDOW, bits:
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, bits: int = BITS) -> DataFrame:
-    """doc_id, n_words, n_hit, items (sorted as text), contaminated of every row of docs (doc_id, text)."""
+    """doc_id, text_hash (xxhash64), n_words, n_hit, items (sorted as text), contaminated of every row of docs (doc_id, text)."""
     windows = written(item_windows(benchmark, window), "windows")
-    places = written(hit_places(docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id"), F.col("text").cast("string").alias("text")), windows, window, bits), "places")
+    places = written(hit_places(docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text")), windows, window, bits), "places")
     flat = places.where(F.size("f") > 0).select("uid", F.explode(F.arrays_zip("f", "h", "n", "pos")).alias("x")).select("uid", "x.*")
     hits = flat.join(windows, ["f", "h", "n"]).select("uid", "pos", "n", "items")
     # words in the union of the hit windows: sorted by place, each adds what lies behind all before it
@@ -124,9 +124,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
         lambda a: a["n"],
     )
     found = hits.groupBy("uid").agg(union.alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
-    out = places.select("uid", "doc_id", "n_words").join(found, "uid", "left")
+    out = places.select("uid", "doc_id", "text_hash", "n_words").join(found, "uid", "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
-    return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), ((n_hit > 0) & (n_hit * SHARE >= F.col("n_words"))).alias("contaminated"))
+    return out.select("doc_id", "text_hash", "n_words", n_hit.alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), ((n_hit > 0) & (n_hit * SHARE >= F.col("n_words"))).alias("contaminated"))
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """docs without its contaminated rows."""
+    bad = contamination(docs, benchmark).where("contaminated").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_id"]) & (F.xxhash64(docs["text"]) == bad["_hash"]), "left_anti")
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

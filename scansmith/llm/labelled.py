@@ -58,17 +58,17 @@ def features(rows: DataFrame, extract: Callable[[str], tuple[np.ndarray, np.ndar
     return written(map_texts(rows, work, "doc_id long, label int, indices binary, counts binary"), "features")
 
 
-def scored(docs: DataFrame, score: Callable[[list[str]], np.ndarray]) -> DataFrame:
-    """docs with a double column `score` of its whole texts (null: empty); others stay, but one of that name is replaced."""
-    docs = docs.drop("score")
+def scored(docs: DataFrame, score: Callable[[list[str]], np.ndarray], into: str = "score") -> DataFrame:
+    """docs with a double column of its whole texts' scores (null: empty); others stay, but one of that name is replaced."""
+    docs = docs.drop(into)
     names = docs.columns
     at = names.index("text")
 
     def work(b: pa.RecordBatch) -> pa.RecordBatch:
         out = score([t or "" for t in b.column(at).to_pylist()])
-        return pa.record_batch([*b.columns, pa.array(out, pa.float64())], [*names, "score"])
+        return pa.record_batch([*b.columns, pa.array(out, pa.float64())], [*names, into])
 
-    return map_texts(docs, work, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", score double")
+    return map_texts(docs, work, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", `{into}` double")
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:

@@ -113,9 +113,9 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> byte
     return fit_in_one_task(found, fit)
 
 
-def score_quality(docs: DataFrame, model: bytes) -> DataFrame:
-    """docs (text, ...) with score: 0 to 1, higher for better texts."""
-    return scored(docs, scorer(model))
+def score_quality(docs: DataFrame, model: bytes, into: str = "score") -> DataFrame:
+    """docs (text, ...) with a score: 0 to 1, higher for better texts."""
+    return scored(docs, scorer(model), into)
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -108,24 +108,24 @@ def find(text: str) -> list[tuple[str, int, int, int]]:
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """docs (text, ...) with spans: array of (kind, start, end, value), value being where the secret itself begins."""
-    docs = docs.drop("spans")
+def scan(docs: DataFrame, into: str = "spans") -> DataFrame:
+    """docs (text, ...) with spans, or a column of another name: array of (kind, start, end, value), value being where the secret itself begins."""
+    docs = docs.drop(into)
     names = docs.columns
     at = names.index("text")
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("value", pa.int64())]))
 
     def work(b: pa.RecordBatch) -> pa.RecordBatch:
         spans = [[dict(zip(("kind", "start", "end", "value"), s, strict=True)) for s in find(t or "")] for t in b.column(at).to_pylist()]
-        return pa.record_batch([*b.columns, pa.array(spans, kind)], [*names, "spans"])
+        return pa.record_batch([*b.columns, pa.array(spans, kind)], [*names, into])
 
     own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return map_texts(docs, work, f"{own}, spans array<struct<kind:string,start:bigint,end:bigint,value:bigint>>")
+    return map_texts(docs, work, f"{own}, `{into}` array<struct<kind:string,start:bigint,end:bigint,value:bigint>>")
 
 
 def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     """docs with a mark in place of each secret of text; what names it, and all other text and columns, stay."""
-    spans = F.sort_array(F.transform("spans", lambda s: F.struct(s["value"].alias("start"), s["end"].alias("end"))))
+    spans = F.sort_array(F.transform("_spans", lambda s: F.struct(s["value"].alias("start"), s["end"].alias("end"))))
     merged = F.aggregate(
         spans,
         F.struct(F.lit("").alias("text"), F.lit(0).cast("long").alias("to")),
@@ -135,7 +135,7 @@ def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
         ),
         lambda a: F.concat(a["text"], F.col("text").substr((a["to"] + 1).cast("int"), F.length("text"))),
     )
-    return scan(docs).withColumn("text", F.when(F.size("spans") > 0, merged).otherwise(F.col("text"))).drop("spans")
+    return scan(docs, "_spans").withColumn("text", F.when(F.size("_spans") > 0, merged).otherwise(F.col("text"))).drop("_spans")
 
 
 def digest(spans: F.Column) -> F.Column:

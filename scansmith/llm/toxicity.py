@@ -150,9 +150,9 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> byte
     return fit_in_one_task(features(training_rows(docs, labels, "toxic", rows), counted), fit)
 
 
-def score_toxicity(docs: DataFrame, model: bytes) -> DataFrame:
-    """docs (text, ...) with score: 0 to 1, higher for more toxic texts."""
-    return scored(docs, scorer(model))
+def score_toxicity(docs: DataFrame, model: bytes, into: str = "score") -> DataFrame:
+    """docs (text, ...) with a score: 0 to 1, higher for more toxic texts."""
+    return scored(docs, scorer(model), into)
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
