@@ -22,6 +22,7 @@ _PARTS = [
     ("{k} % 53 = 0", 'arn = "arn:aws:iam::', "{k} % 1000 + 1000", ':role/deploy";\nput("s3://bucket-', "{k} % 30", '-data/x");\n'),
     ("{k} % 59 = 0", 'WebAssembly.instantiateStreaming(fetch("m', "{k} % 4", '.wasm"));\nnew webpack.DefinePlugin({ API_URL: JSON.stringify("https://w', "{k} % 4", '.acme.io"), MODE: "prod" });\n'),
     ("{k} % 61 = 0", 'const t = "eyJ', "md5(cast({k} AS varchar(20)))", ".eyJ", "md5(cast({k} + 1 AS varchar(20)))", '.c2ln";\nuser = "admin";\nsigning_secret = "s', "{k} % 100", '-longenough";\n'),
+    ("{k} % 67 = 0", 'axios.get("items/', "{k} % 10", '");\nseed = "GHIJKLMNOPQRSTUVWXYZghijklmnopq', "{k} % 1000", '";\n'),
     ("{k} % 2 = 0", 'save("/settings/', "{k} % 20", '/");\nsave("/settings/', "{k} % 20", '");\n'),
 ]
 _OBFUSCATED = [
