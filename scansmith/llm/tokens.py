@@ -33,7 +33,7 @@ if TYPE_CHECKING:
     from tokenizers import Tokenizer
 
 END_ID = 2
-CACHED_PIECES = 1_000_000
+CACHED_PIECES = 2_000_000
 CACHED_CHARS = 48  # longer pieces are encoded each time
 _ODD = re.compile(r"\s\s|[^\S \n]|\0")
 _UNSURE = re.compile(r"[\x1c-\x1f]")  # white space for Python alone
