@@ -60,7 +60,9 @@ def _ranges(keyed: DataFrame, cuts: list[tuple[str, str, int]]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = zip(*(b.column(k).to_pylist() for k in ("key", "path", "salt")), strict=True)
-            yield b.append_column("range", pa.array([bisect.bisect_right(cuts, r) for r in rows], pa.int64()))
+            ranges = pa.array([bisect.bisect_right(cuts, r) for r in rows], pa.int64())
+            if b.num_rows:
+                yield pa.record_batch([*b.columns, ranges], [*b.schema.names, "range"])
 
     return keyed.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in keyed.schema) + ", range long")
 
@@ -73,8 +75,10 @@ def _spread(rules: DataFrame, cuts: list[tuple[str, str, int]]) -> DataFrame:
             keys = b.column("key").to_pylist()
             # every key of the interval lies between the rule's key and the key with a greatest character behind it
             spans = [(bisect.bisect_left(cuts, (k,)), bisect.bisect_left(cuts, (k + "\U0010ffff",))) for k in keys]
-            at = [i for i, (lo, hi) in enumerate(spans) for _ in range(lo, hi + 1)]
-            yield b.take(pa.array(at, pa.int64())).append_column("range", pa.array([r for lo, hi in spans for r in range(lo, hi + 1)], pa.int64()))
+            at = pa.array([i for i, (lo, hi) in enumerate(spans) for _ in range(lo, hi + 1)], pa.int64())
+            ranges = pa.array([r for lo, hi in spans for r in range(lo, hi + 1)], pa.int64())
+            if b.num_rows:
+                yield pa.record_batch([*(c.take(at) for c in b.columns), ranges], [*b.schema.names, "range"])
 
     return rules.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rules.schema) + ", range long")
 
@@ -119,7 +123,9 @@ def sweep(urls: pd.DataFrame, rules: pd.DataFrame, default: str) -> pd.DataFrame
             stack.pop()
         fits = [f for level in stack if key and (f := level.longest(path))]
         out.append(min(fits, key=lambda f: (-len(f[0]), f[0])) if fits else (None, default))
-    return pd.DataFrame({"page_id": urls["page_id"], "host": urls["host"], "path": urls["path"], "rule": [r for r, _ in out], "verdict": [v for _, v in out]})
+    # lists, not columns: those of a range without urls would not become Arrow arrays
+    rows = [(*known, *told) for known, told in zip(urls[["page_id", "host", "path"]].itertuples(index=False, name=None), out, strict=True)]
+    return pd.DataFrame(rows, columns=["page_id", "host", "path", "rule", "verdict"], dtype=object)
 
 
 def filter_urls(pages: DataFrame, rules: DataFrame, default: str = DEFAULT_VERDICT, rows_a_range: int = ROWS_A_RANGE) -> DataFrame:
