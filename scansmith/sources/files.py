@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scansmith.catalog import EXCLUDED_FOLDERS, MAX_FILE_BYTES
+from scansmith.functions.text import strip
 
 
 def decoded(content: Column) -> Column:
@@ -96,11 +97,11 @@ def package_manifests(spark: SparkSession, root: str) -> DataFrame:
 
 def git_metadata(heads: DataFrame) -> DataFrame:
     """(root, branch, commit, exposed_config, remotes) of heads (root, head, ref_text, config): the texts of a repository's files, null if missing."""
-    head = F.trim("head")
+    head = strip(F.col("head"))
     on_branch = F.startswith(head, F.lit("ref: refs/heads/"))
     branch = F.when(on_branch, F.regexp_replace(head, "ref: refs/heads/", "")).when(head.isNotNull(), F.lit("detached"))
-    commit = F.when(on_branch, F.substring(F.trim("ref_text"), 1, 12)).otherwise(F.substring(head, 1, 12))
-    remotes = F.transform(F.regexp_extract_all("config", F.lit("url\\s*=\\s*(.+)"), F.lit(1)), lambda r: F.trim(r))
+    commit = F.when(on_branch, F.substring(strip(F.col("ref_text")), 1, 12)).otherwise(F.substring(head, 1, 12))
+    remotes = F.transform(F.regexp_extract_all("config", F.lit("url\\s*=\\s*(.+)"), F.lit(1)), strip)
     return heads.select("root", branch.alias("branch"), commit.alias("commit"), F.col("config").isNotNull().alias("exposed_config"), remotes.alias("remotes"))
 
 
