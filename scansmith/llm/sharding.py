@@ -29,6 +29,7 @@ from scansmith.llm.common import written
 SHARDS = 16
 LARGE, SPLIT = 64, 8
 ROWS_A_RANGE, SAMPLES_A_RANGE = 20_000, 32
+MOST_RANGES = 10_000  # beyond it ranges grow: what the driver adds up is one row a range
 OVERFULL, ROUNDS = 2.0, 4
 
 
@@ -71,7 +72,7 @@ def _ranged(rows: DataFrame, cuts: list[tuple]) -> DataFrame:
 
 def split_ranges(rows: DataFrame, total: int, count: int, rows_a_range: int = ROWS_A_RANGE) -> DataFrame:
     """rows (doc_id, size, h, uid, ...) with a range number that ascends with the key; no range is overfull."""
-    parts = max(1, -(-count // rows_a_range))
+    parts = min(max(1, -(-count // rows_a_range)), MOST_RANGES)
     weight = (F.col("size") / F.lit(float(max(total, 1))) + F.lit(1.0 / max(count, 1))) / 2
     cuts = _boundaries([k for _, k in _sampled(rows.withColumn("range", F.lit(0)), weight, F.lit(float(parts * SAMPLES_A_RANGE)))], parts) if parts > 1 else []
     for _ in range(ROUNDS):

@@ -33,6 +33,7 @@ if TYPE_CHECKING:
     from tokenizers import Tokenizer
 
 END_ID = 2
+MOST_PARTS = 100_000  # beyond it parts grow: what the driver adds up is one row a part
 CACHED_PIECES = 2_000_000
 CACHED_CHARS = 48  # longer pieces are encoded each time
 _ODD = re.compile(r"\s\s|[^\S \n]|\0")
@@ -146,7 +147,7 @@ def write_token_files(docs: DataFrame, folder: str | None = None, vocabulary: st
     path = vocabulary or default_vocabulary()
     os.makedirs(folder, exist_ok=True)
     bounded_batches(spark)
-    parts = max(1, -(-docs.count() // rows_a_part))
+    parts = min(max(1, -(-docs.count() // rows_a_part)), MOST_PARTS)
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("h"))
     keyed = keyed.repartitionByRange(parts, "doc_id", "h").sortWithinPartitions("doc_id", "h").drop("h").withColumn("part", F.spark_partition_id())
 

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROWS_A_RANGE, SAMPLES_A_RANGE = 20_000, 32
+MOST_RANGES = 10_000  # beyond it ranges grow: boundaries are one row a range
 DEFAULT_VERDICT = "allow"
 #: The rules that the query applies.
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -133,7 +134,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = DEFAULT_VERDI
     narrow = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"))
     keyed = with_parts(narrow).select("page_id", "host", "path", host_key(F.col("host")).alias("key"), F.xxhash64("page_id", "url").alias("salt"))
     count = narrow.count()
-    cuts = _cuts(keyed, max(1, -(-count // rows_a_range)), max(count, 1))
+    cuts = _cuts(keyed, min(max(1, -(-count // rows_a_range)), MOST_RANGES), max(count, 1))
     good = rules.select(F.translate("host", _UPPER, _LOWER).alias("host"), "path", "verdict").dropna()
     named = good.select(host_key(F.col("host")).alias("key"), "path", F.concat("host", "path").alias("rule"), "verdict").where("key <> ''").distinct()
     left, right = _ranges(keyed, cuts).groupBy("range"), _spread(named, cuts).groupBy("range")
