@@ -91,7 +91,7 @@ def scan(docs: DataFrame, options: ScanOptions = ScanOptions()) -> DataFrame:  #
     found = checked(raw_matches(docs, options))
     if options.frameworks:  # a variable counts once, whatever pattern found it
         env = F.col("pass_ord") == 16
-        found = found.where(~env).unionByName(first_wins(found.where(env).withColumn("category", F.lit("debug")), ("source", "category", "value")).select(found.columns))
+        found = found.where(~env).unionByName(first_wins(found.where(env)).select(found.columns))
     out = displayed(found)
     if options.entropy:
         out = secrets_score.scored(out)
@@ -101,6 +101,5 @@ def scan(docs: DataFrame, options: ScanOptions = ScanOptions()) -> DataFrame:  #
     if options.frameworks and "debug" in options.categories:
         out = out.unionByName(detectors.webpack_defines(docs, options.deobfuscate).select(out.columns))
     names = [f.split()[0] for f in FINDINGS.split(", ")]
-    if "type" in out.columns:  # displayed types of those passes that rename them
-        out = out.withColumn("type", F.when(F.col("pass_ord") == 22, F.lit("CORS Misconfiguration")).otherwise(F.col("type")))
+    out = out.withColumn("type", F.when(F.col("pass_ord") == 22, F.lit("CORS Misconfiguration")).otherwise(F.col("type")))
     return first_wins(out.select(names)).select(names)
