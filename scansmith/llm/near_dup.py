@@ -3,15 +3,16 @@
 A document is the multiset of its five-word shingles (a document of fewer words is one shingle). A shingle weighs its count
 times an inverse document frequency that is 1 up to COMMON of all documents and falls with the logarithm beyond; document
 frequencies are counted over all documents in a count-min sketch of fixed size, which alone is broadcast. LANES consistent
-weighted samples (the sampled shingle and its level) make BANDS bands. Documents with the same words are one node; nodes that
-share a band are a bucket. A bucket's nodes meet in chunks of bounded size, whose exact weighted Jaccard similarities are
+weighted samples (the sampled shingle and its level) make BANDS bands. Copies of a large group lower the weights of what they
+share, so a document with lowered weights also has the bands of its plain counts, and a pair may be alike by weights or by
+counts. Documents with the same words are one node; nodes that share a band are a bucket. A bucket's nodes meet in chunks of bounded size, whose exact weighted Jaccard similarities are
 computed against inverted lists; what leaves a chunk is a spanning forest of its links, never its pairs. A bucket that is
 too large for one chunk is finished by a second pass in which every node outside the bucket's largest component meets all
 chunks of the bucket, so no link between components is missed. Components come from alternating large- and small-star
 steps, each written to the shared folder.
 
-Similarity is that of the nodes' shingle numbers (32 bits) and weights; SIMILARITY or more links. Links are found if the
-pair shares a band: 0.998 of pairs at 0.8, more above.
+Similarity is that of the nodes' shingle numbers (32 bits) and weights, or counts if that is more; SIMILARITY or more links.
+Links are found if the pair shares a band: 0.998 of pairs at 0.8, more above.
 
 Defined results: documents without words are copies only of documents with equal text; null text is empty; a row repeated as
 a whole is a copy of itself; a class is named by its smallest doc_id (null counts as smallest); an empty table gives no rows;
@@ -35,7 +36,7 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 12, 4
 LANES = BANDS * ROWS
 SKETCH, SKETCH_ROWS = 1 << 17, 2
-COMMON, COMMON_LEAST, IDF_LEAST = 0.1, 50, 0.25
+COMMON, IDF_LEAST = 0.1, 0.25
 CHUNK_NODES, CHUNK_SHINGLES = 2048, 3_000_000
 
 _TABLE = 1 << 16
@@ -106,7 +107,7 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
 
 def idf_table(sketch: np.ndarray, docs: int) -> np.ndarray:
     """The weight that each cell of the sketch gives; a shingle has the greatest of its cells' weights."""
-    usual = max(COMMON_LEAST, COMMON * docs)
+    usual = max(1, COMMON * docs)
     if docs <= usual:
         return np.ones(sketch.shape, np.float32)
     return np.clip(np.log(docs / np.maximum(sketch, 1)) / np.log(docs / usual), IDF_LEAST, 1).astype(np.float32)
@@ -158,49 +159,56 @@ def signatures(docs: DataFrame, table: np.ndarray) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            nodes, sizes, bands = [], np.zeros(b.num_rows, np.int64), np.zeros((b.num_rows, BANDS), np.uint64)
+            nodes, sizes, bands, held = [], np.zeros(b.num_rows, np.int64), np.zeros((b.num_rows, 2 * BANDS), np.uint64), np.zeros((b.num_rows, 2 * BANDS), bool)
             for lo, hi, words, at in hashed_words(b.column(2)):
                 d, h, n = shingles(words, at)
                 starts = np.flatnonzero(np.append(True, d[1:] != d[:-1])) if len(d) else np.zeros(0, np.int64)
                 if len(d):
-                    bands[lo + d[starts]] = bands_of(samples(h, _idf(shared.value, h) * n.astype(np.float32), starts))
-                    sizes[lo + d[starts]] = np.diff(np.append(starts, len(d)))
+                    rows, counts, idf = lo + d[starts], n.astype(np.float32), _idf(shared.value, h)
+                    sizes[rows] = np.diff(np.append(starts, len(d)))
+                    bands[rows, :BANDS] = bands_of(samples(h, idf * counts, starts))
+                    held[rows, :BANDS] = True
+                    if (low := np.minimum.reduceat(idf, starts) < 1).any():
+                        own = np.repeat(low, sizes[rows])
+                        bands[rows[low], BANDS:] = bands_of(samples(h[own], counts[own], np.append(0, np.cumsum(sizes[rows[low]])[:-1])))
+                        held[rows[low], BANDS:] = bands[rows[low], BANDS:] != bands[rows[low], :BANDS]
                 for i in range(lo, hi):
                     own = words[at[i - lo] : at[i - lo + 1]].tobytes() or b"text:" + (b.column(2)[i].as_py() or "").encode()
                     nodes.append(hashlib.blake2b(own, digest_size=16).digest())
-            ends = np.append(0, np.cumsum(np.where(sizes > 0, BANDS, 0))).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(bands[sizes > 0].ravel().view(np.int64)))
+            ends = np.append(0, np.cumsum(held.sum(1))).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(bands[held].view(np.int64)))
             yield pa.record_batch([b.column(0), b.column(1), pa.array(nodes, pa.binary()), pa.array(sizes), lists], ["doc_id", "h", "node", "size", "bands"])
 
     return docs.mapInArrow(run, "doc_id long, h long, node binary, size long, bands array<long>")
 
 
-def similar(left: list[tuple[np.ndarray, np.ndarray]], right: list[tuple[np.ndarray, np.ndarray]] | None = None) -> list[tuple[int, int]]:
+def similar(left: list[tuple[np.ndarray, ...]], right: list[tuple[np.ndarray, ...]] | None = None) -> list[tuple[int, int]]:
     """A spanning forest of the links among left, or of those between left and right (numbered behind left).
 
+    A set is its shingles, their weights and, where these differ, their counts; either links.
     Breadth first over inverted lists: each node is held against the nodes that no component has reached yet, so a group of
     near copies costs about its size times the nodes that are not alike, not its square.
     """
     sets = [*left, *(right or [])]
     m, cross = len(sets), len(left) if right is not None else None
-    total = np.array([w.sum() for _, w in sets])
+    measures = [1, -1] if any(len(s) > 2 for s in sets) else [1]  # places of weights and counts in a set
+    totals = [np.array([s[k].sum() for s in sets]) for k in measures]
     if m == 2:
-        (a, v), (b, w) = sets
-        _, i, j = np.intersect1d(a, b, True, True)
-        both = np.minimum(v[i], w[j]).sum()
-        return [(0, 1)] if both >= SIMILARITY * (total.sum() - both) - 1e-6 else []
-    h, w = np.concatenate([x for x, _ in sets]), np.concatenate([x for _, x in sets])
-    doc = np.repeat(np.arange(m), [len(x) for x, _ in sets])
+        _, i, j = np.intersect1d(sets[0][0], sets[1][0], True, True)
+        shared = [np.minimum(sets[0][k][i], sets[1][k][j]).sum() for k in measures]
+        return [(0, 1)] if any(both >= SIMILARITY * (total.sum() - both) - 1e-6 for both, total in zip(shared, totals, strict=True)) else []
+    h, values = np.concatenate([s[0] for s in sets]), [np.concatenate([s[k] for s in sets]) for k in measures]
+    doc = np.repeat(np.arange(m), [len(s[0]) for s in sets])
     _, term = np.unique(h, return_inverse=True)
-    begin = np.append(0, np.cumsum([len(x) for x, _ in sets]))
+    begin = np.append(0, np.cumsum([len(s[0]) for s in sets]))
     free, links = np.ones(m, bool), []
 
-    def lists() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def lists() -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
         own = np.flatnonzero(free[doc])
         own = own[np.argsort(term[own], kind="stable")]
-        return doc[own], w[own], np.searchsorted(term[own], np.arange(term.max() + 2))
+        return doc[own], [w[own] for w in values], np.searchsorted(term[own], np.arange(term.max() + 2))
 
-    posted, weight, at = lists()
+    posted, weights, at = lists()
     held = m
     for seed in range(m):
         if not free[seed]:
@@ -210,14 +218,17 @@ def similar(left: list[tuple[np.ndarray, np.ndarray]], right: list[tuple[np.ndar
         while queue:
             q = queue.pop()
             if (n := int(free.sum())) < held // 2:
-                (posted, weight, at), held = lists(), n
+                (posted, weights, at), held = lists(), n
             own = term[begin[q] : begin[q + 1]]
             sizes = at[own + 1] - at[own]
             if n == 0 or not sizes.sum():
                 continue
             index = np.repeat(at[own] - np.append(0, np.cumsum(sizes)[:-1]), sizes) + np.arange(sizes.sum())
-            both = np.bincount(posted[index], np.minimum(weight[index], np.repeat(w[begin[q] : begin[q + 1]], sizes)), m)
-            new = free & (both >= SIMILARITY * (total[q] + total - both) - 1e-6)
+            alike, at_index = np.zeros(m, bool), posted[index]
+            for w, weight, total in zip(values, weights, totals, strict=True):
+                both = np.bincount(at_index, np.minimum(weight[index], np.repeat(w[begin[q] : begin[q + 1]], sizes)), m)
+                alike |= both >= SIMILARITY * (total[q] + total - both) - 1e-6
+            new = free & alike
             if cross is not None:
                 new[:cross] &= q >= cross
                 new[cross:] &= q < cross
@@ -229,24 +240,26 @@ def similar(left: list[tuple[np.ndarray, np.ndarray]], right: list[tuple[np.ndar
 
 
 def _blob(text_column: pa.Array, table: np.ndarray) -> list[bytes]:
-    """Each text's ascending 32-bit shingle numbers and their weights, as float32."""
+    """Each text's ascending 32-bit shingle numbers, their weights and, where these differ, their counts, as float32; the number of these parts."""
     out = [b""] * len(text_column)
     for lo, hi, words, at in hashed_words(text_column):
         d, h, n = shingles(words, at)
         if not len(d):
             continue
-        w = _idf(table, h) * n.astype(np.float32)
+        idf = _idf(table, h)
+        w = idf * n.astype(np.float32)
         bounds = np.searchsorted(d, np.arange(hi - lo + 1))
         for i in range(hi - lo):
             s = slice(bounds[i], bounds[i + 1])
             short, place = np.unique((h[s] >> np.uint64(32)).astype(np.uint32), return_inverse=True)
-            out[lo + i] = short.tobytes() + np.bincount(place, w[s], len(short)).astype(np.float32).tobytes()
+            parts = [w[s], n[s]] if (idf[s] < 1).any() else [w[s]]
+            out[lo + i] = b"".join([short.tobytes(), *(np.bincount(place, x, len(short)).astype(np.float32).tobytes() for x in parts), bytes([1 + len(parts)])])
     return out
 
 
-def _set(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n = len(blob) // 8
-    return np.frombuffer(blob, np.uint32, n), np.frombuffer(blob, np.float32, n, 4 * n)
+def _set(blob: bytes) -> tuple[np.ndarray, ...]:
+    n = len(blob) // (4 * blob[-1])
+    return np.frombuffer(blob, np.uint32, n), *(np.frombuffer(blob, np.float32, n, 4 * n * k) for k in range(1, blob[-1]))
 
 
 _LINK = "a binary, b binary"

@@ -111,6 +111,23 @@ def test_classes(spark, monkeypatch, chunk):
     assert sorted(r["doc_id"] for r in out if r["first"]) == sorted(set(brute_classes(docs).values()))
 
 
+@pytest.mark.parametrize("chunk", [2048, 40])
+def test_edited_copies_in_a_large_group(spark, monkeypatch, chunk):
+    """A third of the rows are copies of one text with two of 100 words replaced: each is alike to that text alone, 86 of 106 shingles."""
+    monkeypatch.setattr(near_dup, "CHUNK_NODES", chunk)
+    rng = random.Random(6)
+    base = words(rng, 100).split()
+    texts = [" ".join(base), *(words(rng, 100) for _ in range(280))]
+    for _ in range(140):
+        w = list(base)
+        at = rng.randrange(5, 45)
+        w[at], w[at + rng.randrange(10, 50)] = words(rng, 2).split()
+        texts.append(" ".join(w))
+    docs = list(enumerate(texts))
+    out = near_dup.classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["class_id"] for r in out} == {i: 0 if i > 280 else i for i, _ in docs} == brute_classes(docs)
+
+
 def test_deduplicate_keeps_columns_and_one_of_each(spark):
     t = words(random.Random(1), 50)
     rows = [(2, t, "a"), (1, t, "b"), (1, t, "b"), (None, "x y", "c"), (None, "x y", "c"), (5, None, "d"), (6, "", "e")]
