@@ -22,7 +22,7 @@ ORACLE: dict[str, str] = {}
 
 _COLUMNS = ["category", "value", "source", "line", "type", "pass_ord", "pat_ord", "match_ord"]
 _SELECT = f" SELECT {', '.join(_COLUMNS)} FROM findings"
-#: Rollups run over these categories.
+#: Rollups run over these categories, those with names on _all over every one.
 _SOME = ("endpoints", "emails", "network", "cloud")
 
 
@@ -84,51 +84,58 @@ _add(
 )
 
 # ---- rollups ---------------------------------------------------------------------------------------------------------
-_some = lambda s, d: _found(s, d, *_SOME)
-_SQL = _findings_sql(*_SOME)
 _RISK = O.case_sql("category", C.RISKS, "Low")
 _ORDER = "source, pass_ord, pat_ord, match_ord"
-_add("category_totals", lambda s, d: R.category_totals(_some(s, d)), _SQL + " SELECT coalesce(category, 'total') AS category, count(*) AS n FROM findings GROUP BY ROLLUP (category)")
-_add(
-    "risk_rollup",
-    lambda s, d: R.risk_rollup(_some(s, d)),
-    _SQL + f" SELECT {_RISK} AS risk, category, count(*) AS n, {O.case_sql(_RISK, {r: i for i, r in enumerate(C.RISK_ORDER)}, 4)} AS risk_rank FROM findings GROUP BY category",
-)
 _NORM_BARE = "regexp_replace(value, '/+$', '')"
 _NORM = f"CASE WHEN category <> 'endpoints' THEN value WHEN instr({_NORM_BARE}, '?') > 0 THEN substr({_NORM_BARE}, 1, instr({_NORM_BARE}, '?')) || array_to_string(list_sort(string_split(substr({_NORM_BARE}, instr({_NORM_BARE}, '?') + 1), '&')), '&') ELSE {_NORM_BARE} END"
-_add(
-    "findings_dedup_export",
-    lambda s, d: R.deduplicate(_some(s, d)).select("category", "value", "source", "line"),
-    _SQL + f" SELECT category, value, source, line FROM (SELECT *, row_number() OVER (PARTITION BY category, {_NORM} ORDER BY {_ORDER}) AS k FROM findings) WHERE k = 1",
-)
-_add(
-    "top20_per_category",
-    lambda s, d: R.top_per_category(_some(s, d)).select("category", "rank", "value", "source", "line", "more"),
-    _SQL + f" SELECT category, CAST(k AS INTEGER) AS rank, value, source, line, greatest(n - 20, 0) AS more FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY {_ORDER}, value) AS k, count(*) OVER (PARTITION BY category) AS n FROM findings) WHERE k <= 20",
-)
-_add("top_secrets", lambda s, d: R.top_secrets(_found(s, d, "secrets")).select("value", "source", "line"), O.findings_sql(C.SECRETS) + f" SELECT value, source, line FROM findings ORDER BY {_ORDER}, value LIMIT 5")
-_add("per_file_counts", lambda s, d: R.per_file(_some(s, d)), _SQL + " SELECT category, source, count(*) AS n FROM findings GROUP BY category, source")
-_add("files_per_category", lambda s, d: R.files_per_category(_some(s, d)), _SQL + " SELECT category, count(DISTINCT source) AS files, count(*) AS n FROM findings GROUP BY category")
-_add(
-    "severity_order",
-    lambda s, d: R.by_severity(_some(s, d)),
-    _SQL + f" SELECT category, count(*) AS n, {O.case_sql('category', C.HTML_SEVERITY, 'LOW')} AS severity, {O.case_sql('category', {c: i for i, c in enumerate(C.SEVERITY_ORDER)}, 99)} AS rank FROM findings GROUP BY category",
-)
-_add(
-    "report_search",
-    lambda s, d: R.search(_some(s, d), "ADMIN").select("category", "value", "source", "line"),
-    _SQL + " SELECT category, value, source, line FROM findings WHERE contains(lower(value), 'admin') OR contains(lower(source), 'admin') OR contains(CAST(line AS VARCHAR), 'admin')",
-)
-_add("category_filter", lambda s, d: R.in_category(_some(s, d), "network"), _SQL + " SELECT line, value, string_split(source, '/')[-1] AS file FROM findings WHERE category = 'network'")
 _SARIF = O.case_sql(_RISK, C.SARIF_LEVELS, "note")
-_add(
-    "sarif_results",
-    lambda s, d: R.sarif_results(_some(s, d)),
-    _SQL
-    + ", firsts AS (SELECT category, source, pass_ord, pat_ord, match_ord, row_number() OVER (PARTITION BY category ORDER BY source, pass_ord, pat_ord, match_ord) AS k FROM findings)"
-    + ", rules AS (SELECT category, CAST(row_number() OVER (ORDER BY source, pass_ord, pat_ord, match_ord, category) - 1 AS INTEGER) AS rule_index FROM firsts WHERE k = 1)"
-    + f" SELECT rule_index, f.category, {_SARIF.replace('CASE category', 'CASE f.category')} AS level, value AS message, source AS uri, greatest(line, 1) AS start_line FROM findings f JOIN rules r ON f.category = r.category",
-)
+
+
+def _rollups(tail: str, categories: tuple[str, ...]) -> None:
+    """The rollups of a scan for categories, each name with tail."""
+    some, sql = lambda s, d: _found(s, d, *categories), _findings_sql(*categories)
+    _add(f"category_totals{tail}", lambda s, d: R.category_totals(some(s, d)), sql + " SELECT coalesce(category, 'total') AS category, count(*) AS n FROM findings GROUP BY ROLLUP (category)")
+    _add(
+        f"risk_rollup{tail}",
+        lambda s, d: R.risk_rollup(some(s, d)),
+        sql + f" SELECT {_RISK} AS risk, category, count(*) AS n, {O.case_sql(_RISK, {r: i for i, r in enumerate(C.RISK_ORDER)}, 4)} AS risk_rank FROM findings GROUP BY category",
+    )
+    _add(
+        f"findings_dedup_export{tail}",
+        lambda s, d: R.deduplicate(some(s, d)).select("category", "value", "source", "line"),
+        sql + f" SELECT category, value, source, line FROM (SELECT *, row_number() OVER (PARTITION BY category, {_NORM} ORDER BY {_ORDER}) AS k FROM findings) WHERE k = 1",
+    )
+    _add(
+        f"top20_per_category{tail}",
+        lambda s, d: R.top_per_category(some(s, d)).select("category", "rank", "value", "source", "line", "more"),
+        sql + f" SELECT category, CAST(k AS INTEGER) AS rank, value, source, line, greatest(n - 20, 0) AS more FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY {_ORDER}, value) AS k, count(*) OVER (PARTITION BY category) AS n FROM findings) WHERE k <= 20",
+    )
+    _add(f"per_file_counts{tail}", lambda s, d: R.per_file(some(s, d)), sql + " SELECT category, source, count(*) AS n FROM findings GROUP BY category, source")
+    _add(f"files_per_category{tail}", lambda s, d: R.files_per_category(some(s, d)), sql + " SELECT category, count(DISTINCT source) AS files, count(*) AS n FROM findings GROUP BY category")
+    _add(
+        f"severity_order{tail}",
+        lambda s, d: R.by_severity(some(s, d)),
+        sql + f" SELECT category, count(*) AS n, {O.case_sql('category', C.HTML_SEVERITY, 'LOW')} AS severity, {O.case_sql('category', {c: i for i, c in enumerate(C.SEVERITY_ORDER)}, 99)} AS rank FROM findings GROUP BY category",
+    )
+    _add(
+        f"report_search{tail}",
+        lambda s, d: R.search(some(s, d), "ADMIN").select("category", "value", "source", "line"),
+        sql + " SELECT category, value, source, line FROM findings WHERE contains(lower(value), 'admin') OR contains(lower(source), 'admin') OR contains(CAST(line AS VARCHAR), 'admin')",
+    )
+    _add(
+        f"sarif_results{tail}",
+        lambda s, d: R.sarif_results(some(s, d)),
+        sql
+        + ", firsts AS (SELECT category, source, pass_ord, pat_ord, match_ord, row_number() OVER (PARTITION BY category ORDER BY source, pass_ord, pat_ord, match_ord) AS k FROM findings)"
+        + ", rules AS (SELECT category, CAST(row_number() OVER (ORDER BY source, pass_ord, pat_ord, match_ord, category) - 1 AS INTEGER) AS rule_index FROM firsts WHERE k = 1)"
+        + f" SELECT rule_index, f.category, {_SARIF.replace('CASE category', 'CASE f.category')} AS level, value AS message, source AS uri, greatest(line, 1) AS start_line FROM findings f JOIN rules r ON f.category = r.category",
+    )
+
+
+_rollups("", _SOME)
+_rollups("_all", C.CATEGORIES)
+_add("category_filter", lambda s, d: R.in_category(_found(s, d, *_SOME), "network"), _findings_sql(*_SOME) + " SELECT line, value, string_split(source, '/')[-1] AS file FROM findings WHERE category = 'network'")
+_add("top_secrets", lambda s, d: R.top_secrets(_found(s, d, "secrets")).select("value", "source", "line"), O.findings_sql(C.SECRETS) + f" SELECT value, source, line FROM findings ORDER BY {_ORDER}, value LIMIT 5")
 _EP = lambda s, d: _found(s, d, "endpoints")
 _EP_SQL = _findings_sql("endpoints")
 _add(

@@ -5,6 +5,7 @@ import os
 import duckdb
 import pytest
 
+from scansmith import catalog as C
 from scansmith.queries import ORACLE, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
@@ -31,3 +32,15 @@ def test_query(spark, name):
 
 def test_every_query_has_sql_or_a_reason():
     assert set(QUERIES) - set(ORACLE) == {"obfuscated_scan", "ast_endpoints"}  # neither is expressible in SQL
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no tables here")
+def test_whole_rollups_hold_every_category(spark):
+    import __spark_entry__
+
+    found = {r["category"]: r["count"] for r in QUERIES["findings_first_wins"](spark, FOLDER).groupBy("category").count().collect()}
+    assert set(found) == set(C.CATEGORIES)
+    assert dict(map(tuple, QUERIES["category_totals_all"](spark, FOLDER).collect())) == found | {"total": sum(found.values())}
+    rows = __spark_entry__.entry(spark).collect()
+    assert {r["category"]: r["n"] for r in rows} == found
+    assert "Critical" in {r["risk"] for r in rows}
