@@ -6,7 +6,7 @@ successive places of every fifth, so those places are looked at, and the express
 that carry a checksum (base-62 CRC-32 of their body) count as found only if it is right.
 
 Base kinds: assign, access, hex. Added kinds: github, npm (checksum), jwt (its header must decode to JSON with an algorithm),
-pem (the first line of a private key). Spans are code points, end exclusive; within a kind they are leftmost and do not
+pem (a private key to its END line; without one before the next BEGIN, to the end of its base64 lines). Spans are code points, end exclusive; within a kind they are leftmost and do not
 overlap; a match that fails its length or checksum still ends the search within it.
 
 Defined results: null and empty texts have no spans; whole texts are scanned whatever their length; every row is scanned by
@@ -47,6 +47,11 @@ PATTERNS = {
     "jwt": re.compile(r"(eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+)"),
     "pem": re.compile(r"(-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----)"),
 }
+#: What follows the first line of a private key that has no END line: headers, and lines of base64 alone.
+_PEM_BODY = re.compile(
+    r"(?:\s*(?:\\r)?(?:\\n)?(?:Proc-Type|DEK-Info):[^\n\\]*)*(?:\s|\\[rn])*"
+    r"[A-Za-z0-9+/]{16,}={0,2}(?:[ \t]*(?:\\r|\r)?(?:\\n|\n)[ \t]*[A-Za-z0-9+/]+={0,2}(?=[ \t\r]*(?:[\n\\\"']|$)))*"
+)
 _HEX_RUN = re.compile(r"[0-9a-f]{%d,}" % HEX)
 _HEX_PLACES = re.compile(r"[0-9a-f]{3,}")
 _STEP = 5
@@ -79,6 +84,17 @@ def _valid(kind: str, value: str) -> bool:
     return True
 
 
+def _pem_end(text: str, m: re.Match[str]) -> int:
+    """The end of the private key whose first line is m."""
+    after = text.find("-----BEGIN ", m.end())
+    after = len(text) if after < 0 else after
+    last = m[1].replace("BEGIN", "END", 1)
+    if (at := text.find(last, m.end(), after)) >= 0:
+        return at + len(last)
+    body = _PEM_BODY.match(text, m.end())
+    return min(body.end(), after) if body else m.end()
+
+
 @functools.cache
 def _automaton():  # noqa: ANN202
     import ahocorasick
@@ -98,9 +114,9 @@ def find(text: str) -> list[tuple[str, int, int, int]]:
     found, ends = [], dict.fromkeys(PATTERNS, 0)
     for at, kind in sorted((end - n + 1, kind) for end, (kind, n) in _automaton().iter(low)):
         if at >= ends[kind] and (m := PATTERNS[kind].match(text, at)):
-            ends[kind] = m.end()
+            ends[kind] = _pem_end(text, m) if kind == "pem" else m.end()
             if _valid(kind, m[m.lastindex]):
-                found.append((kind, m.start(), m.end(), m.start(m.lastindex)))
+                found.append((kind, m.start(), ends[kind], m.start(m.lastindex)))
     for m in _HEX_PLACES.finditer(text[_STEP - 1 :: _STEP]):
         first, last = m.start() * _STEP + _STEP - 1, m.end() * _STEP - 1
         for r in _HEX_RUN.finditer(text, max(0, first - _STEP + 1), min(len(text), last + _STEP)):

@@ -140,6 +140,17 @@ def test_scan_and_redact(spark):
     assert hidden[1]["text"] == 'my token = "[secret]" end' and hidden[2]["text"] is None and hidden[4]["text"].endswith("clean [secret]") and hidden[1]["spans"] == "k"
 
 
+def test_private_keys_are_hidden_whole(spark):
+    lines = ["MIIEpAIBAAKCAQEA" + c * 48 for c in "aBc"] + ["x9Z="]
+    begin, end = (f"-----{x} RSA PRIVATE KEY-----" for x in ("BEGIN", "END"))
+    headers = ["Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,0A1B", ""]
+    keys = ["\n".join([begin, *lines, end]), "\r\n".join([begin, *headers, *lines, end]), "\\n".join([begin, *lines, end]), f"{begin} {' '.join(lines)} {end}", "\n".join([begin, *lines]), "\r\n".join([begin, *headers, *lines]), "\\n".join([begin, *lines]), begin]
+    tails = [" after"] * 4 + ["\n\nafter", "\n-----BEGIN other", '" after', " after some words"]
+    rows = [(i, f"before {k}{t}") for i, (k, t) in enumerate(zip(keys, tails, strict=True))] + [(8, f"{begin}\n{lines[0]}\nmore {keys[0]} after")]
+    out = {r["doc_id"]: r["text"] for r in secrets.redact(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == {i: f"before [secret]{t}" for i, t in enumerate(tails)} | {8: "[secret]\nmore [secret] after"}
+
+
 def plain_contamination(text, items):
     w = WORD.findall((text or "").translate(LOW))
     hit, found = set(), set()
