@@ -6,9 +6,11 @@ to words, so words are found and hashed bytewise with whole-array operations; no
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import tempfile
 import uuid
+import weakref
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -40,27 +42,71 @@ def shared_folder(spark: SparkSession, what: str) -> str:
     return f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
+_PLACES: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+BATCH_ROWS = 512  # rows that a worker takes at once
+_BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def _file_system(spark: SparkSession, path: str):  # noqa: ANN202
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def deleted_at_exit(spark: SparkSession, path: str) -> None:
+    """Leave a folder that is there to be deleted when the driver ends."""
+    files, where = _file_system(spark, path)
+    files.deleteOnExit(where)
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
+    """Arrow batches of at most so many rows for what runs within; the session's own setting holds again behind it."""
+    own = spark.conf.get(_BATCH_SETTING)
+    spark.conf.set(_BATCH_SETTING, str(min(rows, int(own)) if int(own) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH_SETTING, own)
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
-    """df written to the shared folder and read again: it cuts the lineage, and is not computed twice."""
+    """df written to the shared folder and read again: it cuts the lineage, and is not computed twice.
+
+    The table goes with the driver, or before with `discard`.
+    """
     spark = df.sparkSession
     path = shared_folder(spark, what)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
+    deleted_at_exit(spark, path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PLACES[out] = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete what `written` wrote, when nothing will read it any more."""
+    for df in frames:
+        files, where = _file_system(df.sparkSession, _PLACES.pop(df))
+        files.delete(where, True)
 
 
-def bounded_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Arrow batches of few rows, so that some very long texts do not meet in one batch."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def unused(df: DataFrame, name: str) -> str:
+    """name, or a longer one where df has a column of that name."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def map_texts(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """mapInArrow with a function of one batch."""
-    bounded_batches(df.sparkSession)
+    """mapInArrow with a function of at most BATCH_ROWS rows, whatever the session's batches are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows and (out := work(batch)) is not None:
-                yield out
+            for at in range(0, batch.num_rows, BATCH_ROWS):
+                if (out := work(batch.slice(at, BATCH_ROWS))) is not None:
+                    yield out
 
     return df.mapInArrow(run, schema)
 

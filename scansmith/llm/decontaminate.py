@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scansmith.llm.common import bounded_batches, grams, hashed_words, mix, written
+from scansmith.llm.common import grams, hashed_words, mix, written
 
 WINDOW, GRAM = 13, 6
 BITS = 1 << 24  # of the bitmap: 2 MB, whatever the benchmark
@@ -46,7 +46,6 @@ def _windows(words: np.ndarray, n: int, short: bool) -> tuple[np.ndarray, np.nda
 
 def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """(f, h, n, items): each distinct window's fingerprint, hash and words, and the items that hold it."""
-    bounded_batches(benchmark.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -83,7 +82,6 @@ def hit_places(docs: DataFrame, windows: DataFrame, window: int = WINDOW, bits:
     shared = docs.sparkSession.sparkContext.broadcast(np.packbits(_bitmap(windows, bits)))
     lengths = sorted(r["n"] for r in windows.select("n").distinct().collect())  # at most WINDOW of them
     names = [c for c in docs.columns if c != "text"]
-    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = np.unpackbits(shared.value).astype(bool)

@@ -1,22 +1,25 @@
 """Operator 3: near duplicates by improved consistent weighted sampling over TF-IDF shingles.
 
 A document is the multiset of its five-word shingles (a document of fewer words is one shingle). A shingle weighs its count
-times an inverse document frequency that is 1 up to COMMON of all documents and falls with the logarithm beyond; document
-frequencies are counted over all documents in a count-min sketch of fixed size, which alone is broadcast. LANES consistent
-weighted samples (the sampled shingle and its level) make BANDS bands. Copies of a large group lower the weights of what they
-share, so a document with lowered weights also has the bands of its plain counts, and a pair may be alike by weights or by
-counts. Documents with the same words are one node; nodes that share a band are a bucket. A bucket's nodes meet in chunks of bounded size, whose exact weighted Jaccard similarities are
-computed against inverted lists; what leaves a chunk is a spanning forest of its links, never its pairs. A bucket that is
-too large for one chunk is finished by a second pass in which every node outside the bucket's largest component meets all
-chunks of the bucket, so no link between components is missed. Components come from alternating large- and small-star
-steps, each written to the shared folder.
+times 1 + log((1 + N) / (1 + df)) with df of N documents that hold it. Frequencies are counted over all documents in a sketch
+of fixed size, which alone is broadcast; what other shingles add to a cell on average is taken off, and frequencies below
+twice the sketch's own noise count as that. LANES consistent weighted samples (the sampled shingle and its level) make BANDS
+bands. Copies of a large group lower the weights of what they share and not of what each changed, so a document with shingles
+well below the greatest weight also has the bands of its plain counts, and a pair may be alike by weights or by counts.
+
+Documents with the same words are one node; nodes that share a band are a bucket. A bucket's nodes meet in chunks of bounded
+size, whose exact weighted Jaccard similarities are computed against inverted lists; what leaves a chunk is a spanning forest
+of its links, never its pairs. A bucket that is too large for one chunk is finished by a second pass in which every node
+outside the bucket's largest component meets all chunks of the bucket, so no link between components is missed. Components
+come from alternating large- and small-star steps, each written to the shared folder.
 
 Similarity is that of the nodes' shingle numbers (32 bits) and weights, or counts if that is more; SIMILARITY or more links.
 Links are found if the pair shares a band: 0.998 of pairs at 0.8, more above.
 
-Defined results: documents without words are copies only of documents with equal text; null text is empty; a row repeated as
-a whole is a copy of itself; a class is named by its smallest doc_id (null counts as smallest); an empty table gives no rows;
-other columns are ignored by `classes` and kept by `deduplicate`.
+Defined results: documents without words are copies only of documents with equal text; null text is empty; a very long text is
+hashed in slices, whole, and is a set like any other (the set must fit a task); a row repeated as a whole is a copy of itself; a
+class is named by its smallest doc_id (null counts as smallest); an empty table gives no rows; other columns are ignored by
+`classes` and kept by `deduplicate`, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,16 +30,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scansmith.llm.common import bounded_batches, grams, hashed_words, mix, written
+from scansmith.llm.common import discard, grams, hashed_words, mix, small_batches, unused, written
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 12, 4
 LANES = BANDS * ROWS
-SKETCH, SKETCH_ROWS = 1 << 17, 2
-COMMON, IDF_LEAST = 0.1, 0.25
+SKETCH, SKETCH_ROWS = 1 << 18, 2
+LOWERED = 0.85  # of the greatest weight of a single shingle: below it plain counts make bands too
 CHUNK_NODES, CHUNK_SHINGLES = 2048, 3_000_000
 
 _TABLE = 1 << 16
@@ -67,13 +71,17 @@ def shingles(words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return d[place], h[place], np.diff(np.append(place, len(d)))
 
 
-def _cells(h: np.ndarray) -> list[np.ndarray]:
-    return [(mix(h + np.uint64(1 + r)) % np.uint64(SKETCH)).astype(np.int64) for r in range(SKETCH_ROWS)]
+def _short(h: np.ndarray) -> np.ndarray:
+    """The 32 bits of a shingle's hash that name it in sketches and sets."""
+    return (h >> np.uint64(32)).astype(np.uint32)
+
+
+def _cells(short: np.ndarray) -> list[np.ndarray]:
+    return [(mix(short.astype(np.uint64) + np.uint64((r + 1) << 32)) % np.uint64(SKETCH)).astype(np.int64) for r in range(SKETCH_ROWS)]
 
 
 def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     """The count-min sketch of the shingles' document frequencies, and the number of documents."""
-    bounded_batches(docs.sparkSession)
     pieces = 32  # of the sketch, so that partial sketches are added up in so many tasks
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,7 +89,7 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
         for b in batches:
             n += b.num_rows
             for _, _, words, at in hashed_words(b.column(0)):
-                for r, cells in enumerate(_cells(shingles(words, at)[1])):
+                for r, cells in enumerate(_cells(_short(shingles(words, at)[1]))):
                     own[r] += np.bincount(cells, minlength=SKETCH)
         if n:
             parts = own.reshape(pieces, -1)
@@ -98,7 +106,8 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
             yield pa.record_batch([pa.array([piece], pa.int32()), pa.array([n[piece]], pa.int64()), pa.array([zlib.compress(x.tobytes(), 1)])], ["piece", "docs", "counts"])
 
     schema = "piece int, docs long, counts binary"
-    parts = docs.select(F.col("text").cast("string")).mapInArrow(count, schema).repartition(pieces, "piece").mapInArrow(add, schema).collect()
+    with small_batches(docs.sparkSession):
+        parts = docs.select(F.col("text").cast("string")).mapInArrow(count, schema).repartition(pieces, "piece").mapInArrow(add, schema).collect()
     out = np.zeros((pieces, SKETCH_ROWS * SKETCH // pieces), np.int64)
     for r in parts:
         out[r["piece"]] = np.frombuffer(zlib.decompress(r["counts"]), np.int64)
@@ -106,16 +115,15 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def idf_table(sketch: np.ndarray, docs: int) -> np.ndarray:
-    """The weight that each cell of the sketch gives; a shingle has the greatest of its cells' weights."""
-    usual = max(1, COMMON * docs)
-    if docs <= usual:
-        return np.ones(sketch.shape, np.float32)
-    return np.clip(np.log(docs / np.maximum(sketch, 1)) / np.log(docs / usual), IDF_LEAST, 1).astype(np.float32)
+    """The weight that each cell of the sketch gives a shingle; a shingle has the greatest of its cells' weights."""
+    usual = sketch.sum(axis=1, keepdims=True) / sketch.shape[1]
+    own = np.maximum(sketch - usual, np.maximum(1, 2 * np.sqrt(usual)))
+    return (1 + np.log((1 + docs) / (1 + np.minimum(own, docs)))).astype(np.float32)
 
 
-def _idf(table: np.ndarray, h: np.ndarray) -> np.ndarray:
+def _idf(table: np.ndarray, short: np.ndarray) -> np.ndarray:
     out = None
-    for row, cells in zip(table, _cells(h), strict=True):
+    for row, cells in zip(table, _cells(short), strict=True):
         out = row[cells] if out is None else np.maximum(out, row[cells])
     return out
 
@@ -123,19 +131,20 @@ def _idf(table: np.ndarray, h: np.ndarray) -> np.ndarray:
 def samples(h: np.ndarray, weights: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """LANES consistent weighted samples of each run of shingles that begins at starts; 32 bits for shingle and level."""
     out = np.empty((len(starts), LANES), np.uint64)
-    other = np.flatnonzero(weights != 1)
-    log_w = np.log(weights[other]).astype(np.float32)
+    log_w = np.log(weights).astype(np.float32)
+    plain = not log_w.any()
     for k in range(LANES):
         x = (h ^ _SEEDS[k]) * _FACTORS[k]
         x ^= x >> np.uint64(31)
         i, j, b = x >> np.uint64(48), (x >> np.uint64(32)) & np.uint64(0xFFFF), (x >> np.uint64(16)) & np.uint64(0xFFFF)
         r, beta = _R[i], _BETA[b]
-        log_a = _LOG_C[j] - r * (1 - beta)  # weight 1 has level 0
         low = (x * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
-        if len(other):
-            level = np.floor(log_w / r[other] + beta[other])
-            log_a[other] = _LOG_C[j[other]] - r[other] * (level - beta[other] + 1)
-            low[other] ^= level.astype(np.int64).astype(np.uint64) * np.uint64(0x632BE5AB) & np.uint64(0xFFFFFFFF)
+        if plain:
+            log_a = _LOG_C[j] - r * (1 - beta)  # weight 1 has level 0
+        else:
+            level = np.floor(log_w / r + beta)
+            log_a = _LOG_C[j] - r * (level - beta + 1)
+            low ^= (level.astype(np.int64).view(np.uint64) * np.uint64(0x632BE5AB)) & np.uint64(0xFFFFFFFF)
         bits = log_a.view(np.uint32)
         key = np.where(bits >> 31 == 1, ~bits, bits | np.uint32(0x80000000)).astype(np.uint64)
         out[:, k] = np.minimum.reduceat((key << np.uint64(32)) | low, starts) & np.uint64(0xFFFFFFFF)
@@ -152,8 +161,7 @@ def bands_of(lanes: np.ndarray) -> np.ndarray:
 
 def signatures(docs: DataFrame, table: np.ndarray) -> DataFrame:
     """(doc_id, h, node, size, bands) of every row of docs (doc_id, h, text); node: 16 bytes that equal words share."""
-    shared = docs.sparkSession.sparkContext.broadcast(table)
-    bounded_batches(docs.sparkSession)
+    shared, lowered = docs.sparkSession.sparkContext.broadcast(table), LOWERED * float(table.max())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -164,11 +172,11 @@ def signatures(docs: DataFrame, table: np.ndarray) -> DataFrame:
                 d, h, n = shingles(words, at)
                 starts = np.flatnonzero(np.append(True, d[1:] != d[:-1])) if len(d) else np.zeros(0, np.int64)
                 if len(d):
-                    rows, counts, idf = lo + d[starts], n.astype(np.float32), _idf(shared.value, h)
+                    rows, counts, idf = lo + d[starts], n.astype(np.float32), _idf(shared.value, _short(h))
                     sizes[rows] = np.diff(np.append(starts, len(d)))
                     bands[rows, :BANDS] = bands_of(samples(h, idf * counts, starts))
                     held[rows, :BANDS] = True
-                    if (low := np.minimum.reduceat(idf, starts) < 1).any():
+                    if (low := np.minimum.reduceat(idf, starts) < lowered).any():
                         own = np.repeat(low, sizes[rows])
                         bands[rows[low], BANDS:] = bands_of(samples(h[own], counts[own], np.append(0, np.cumsum(sizes[rows[low]])[:-1])))
                         held[rows[low], BANDS:] = bands[rows[low], BANDS:] != bands[rows[low], :BANDS]
@@ -185,7 +193,7 @@ def signatures(docs: DataFrame, table: np.ndarray) -> DataFrame:
 def similar(left: list[tuple[np.ndarray, ...]], right: list[tuple[np.ndarray, ...]] | None = None) -> list[tuple[int, int]]:
     """A spanning forest of the links among left, or of those between left and right (numbered behind left).
 
-    A set is its shingles, their weights and, where these differ, their counts; either links.
+    A set is its shingles, their weights and, if given, their counts; either links.
     Breadth first over inverted lists: each node is held against the nodes that no component has reached yet, so a group of
     near copies costs about its size times the nodes that are not alike, not its square.
     """
@@ -239,27 +247,30 @@ def similar(left: list[tuple[np.ndarray, ...]], right: list[tuple[np.ndarray, ..
     return links
 
 
-def _blob(text_column: pa.Array, table: np.ndarray) -> list[bytes]:
-    """Each text's ascending 32-bit shingle numbers, their weights and, where these differ, their counts, as float32; the number of these parts."""
+def _blob(text_column: pa.Array) -> list[bytes]:
+    """Each text's ascending 32-bit shingle numbers and, unless all are 1, their counts in 2 or 4 bytes; the bytes of a count."""
     out = [b""] * len(text_column)
     for lo, hi, words, at in hashed_words(text_column):
         d, h, n = shingles(words, at)
         if not len(d):
             continue
-        idf = _idf(table, h)
-        w = idf * n.astype(np.float32)
-        bounds = np.searchsorted(d, np.arange(hi - lo + 1))
+        bounds, short = np.searchsorted(d, np.arange(hi - lo + 1)), _short(h)
         for i in range(hi - lo):
             s = slice(bounds[i], bounds[i + 1])
-            short, place = np.unique((h[s] >> np.uint64(32)).astype(np.uint32), return_inverse=True)
-            parts = [w[s], n[s]] if (idf[s] < 1).any() else [w[s]]
-            out[lo + i] = b"".join([short.tobytes(), *(np.bincount(place, x, len(short)).astype(np.float32).tobytes() for x in parts), bytes([1 + len(parts)])])
+            own, place = np.unique(short[s], return_inverse=True)
+            counts = np.bincount(place, n[s], len(own))
+            size = 0 if counts.max(initial=1) == 1 else 2 if counts.max() < 1 << 16 else 4
+            out[lo + i] = own.tobytes() + (counts.astype(f"<u{size}").tobytes() if size else b"") + bytes([size])
     return out
 
 
-def _set(blob: bytes) -> tuple[np.ndarray, ...]:
-    n = len(blob) // (4 * blob[-1])
-    return np.frombuffer(blob, np.uint32, n), *(np.frombuffer(blob, np.float32, n, 4 * n * k) for k in range(1, blob[-1]))
+def _set(blob: bytes, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The shingle numbers, weights and counts of a blob."""
+    size = blob[-1]
+    n = len(blob) // (4 + size)
+    short = np.frombuffer(blob, np.uint32, n)
+    counts = np.frombuffer(blob, f"<u{size}", n, 4 * n).astype(np.float32) if size else np.ones(n, np.float32)
+    return short, _idf(table, short) * counts, counts
 
 
 _LINK = "a binary, b binary"
@@ -267,7 +278,6 @@ _LINK = "a binary, b binary"
 
 def _grouped(rows: DataFrame, keys: list[str], links, columns: list[str]) -> DataFrame:  # noqa: ANN001
     """Links of each group of rows, read in key order; one group is held at a time."""
-    bounded_batches(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, group = None, []
@@ -288,15 +298,15 @@ def _grouped(rows: DataFrame, keys: list[str], links, columns: list[str]) -> Dat
     return rows.select(*keys, *columns).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, _LINK)
 
 
-def _alike(group: list[list]) -> list[tuple[bytes, bytes]]:
+def _alike(group: list[list], table: Broadcast) -> list[tuple[bytes, bytes]]:
     nodes = sorted({n: blob for n, blob in group}.items())
-    return [(nodes[x][0], nodes[y][0]) for x, y in similar([_set(b) for _, b in nodes])]
+    return [(nodes[x][0], nodes[y][0]) for x, y in similar([_set(b, table.value) for _, b in nodes])]
 
 
-def _alike_across(group: list[list]) -> list[tuple[bytes, bytes]]:
+def _alike_across(group: list[list], table: Broadcast) -> list[tuple[bytes, bytes]]:
     sides = [sorted({n: blob for n, blob, outer in group if outer is s}.items()) for s in (True, False)]
     nodes = [*sides[0], *sides[1]]
-    return [(nodes[x][0], nodes[y][0]) for x, y in similar(*([_set(b) for _, b in s] for s in sides))] if all(sides) else []
+    return [(nodes[x][0], nodes[y][0]) for x, y in similar(*([_set(b, table.value) for _, b in s] for s in sides))] if all(sides) else []
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -309,7 +319,8 @@ def components(links: DataFrame) -> DataFrame:
         large = both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         small = large.groupBy("u").agg(F.min("v").alias("m"))
         step = large.join(small, "u")
-        edges = written(step.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(step.select("u", F.col("m").alias("v"))).distinct(), "stars")
+        last, edges = edges, written(step.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(step.select("u", F.col("m").alias("v"))).distinct(), "stars")
+        discard(last)
         state = tuple(edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first())
         if state == before:
             break
@@ -347,11 +358,11 @@ def classes(docs: DataFrame) -> DataFrame:
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                yield pa.record_batch([b.column(0), b.column(1), pa.array(_blob(b.column(2), shared.value), pa.binary())], ["node", "buckets", "blob"])
+                yield pa.record_batch([b.column(0), b.column(1), pa.array(_blob(b.column(2)), pa.binary())], ["node", "buckets", "blob"])
 
     sets = written(texts.mapInArrow(shingled, "node binary, buckets array<struct<bucket:bigint,chunks:int>>, blob binary"), "sets")
     placed = sets.select("node", "blob", F.explode("buckets").alias("x")).select("node", "blob", "x.*").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-    links = written(_grouped(placed, ["bucket", "chunk"], _alike, ["node", "blob"]), "alike")
+    links = written(_grouped(placed, ["bucket", "chunk"], lambda group: _alike(group, shared), ["node", "blob"]), "alike")
     roots = written(components(links), "roots")
     large = placed.where("chunks > 1")
     if not large.limit(1).isEmpty():
@@ -363,8 +374,10 @@ def classes(docs: DataFrame) -> DataFrame:
         outer = sided.where("root <> main").withColumn("part", F.pmod(F.xxhash64("node", F.lit(2)), F.col("outer_chunks")).cast("int")).drop("chunk").withColumn("chunk", every("chunks")).withColumn("outer", F.lit(True))
         inner = sided.withColumn("part", every("outer_chunks")).withColumn("outer", F.lit(False))
         keys, columns = ["bucket", "chunk", "part"], ["node", "blob", "outer"]
-        more = written(_grouped(outer.select(*keys, *columns).unionByName(inner.select(*keys, *columns)), keys, _alike_across, columns), "across")
-        roots = written(components(links.union(more)), "roots")
+        more = written(_grouped(outer.select(*keys, *columns).unionByName(inner.select(*keys, *columns)), keys, lambda group: _alike_across(group, shared), columns), "across")
+        old, roots = roots, written(components(links.union(more)), "roots")
+        discard(old, own, more)
+    discard(sets, links)
     rooted = nodes.select("node", "own").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = rooted.groupBy("root").agg(F.min("own").alias("first"))
     of_node = rooted.join(named, "root").select("node", F.col("first"))
@@ -375,9 +388,10 @@ def classes(docs: DataFrame) -> DataFrame:
 def deduplicate(docs: DataFrame) -> DataFrame:
     """docs with one row of each class: its first; of rows that agree in doc_id and text any one."""
     kept = classes(docs).where("first").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).distinct()
-    own = docs.withColumn("_h0", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    joined = own.join(kept, own["doc_id"].cast("long").eqNullSafe(kept["_id"]) & (own["_h0"] == kept["_h"]), "left_semi")
-    return joined.dropDuplicates(["doc_id", "_h0"]).drop("_h0")
+    h = unused(docs, "_h0")
+    own = docs.withColumn(h, F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    joined = own.join(kept, own["doc_id"].cast("long").eqNullSafe(kept["_id"]) & (own[h] == kept["_h"]), "left_semi")
+    return joined.dropDuplicates(["doc_id", h]).drop(h)
 
 
 def op3_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:

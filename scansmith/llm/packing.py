@@ -7,8 +7,9 @@ the other, removes the bins that then hold a document twice, and puts the displa
 epochs each island's elites move to the next island of the block (a shuffle of one row an island). Items of bins that stay
 under-filled are dealt anew, bin by bin, and evolve once more from the packing that they have, which can only save bins.
 
-Defined results: an empty or null text is the end ID alone; repeated rows are packed as often as they occur; no items give
-no sequences; other columns are ignored, whatever their names. Items longer than the capacity are refused.
+Defined results: an empty or null text is the end ID alone; a very long text is encoded whole and makes as many pieces as it
+needs; repeated rows are packed as often as they occur; no items give no sequences; other columns are ignored, whatever their
+names. Items longer than the capacity are refused.
 """
 
 from __future__ import annotations

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scansmith.llm.common import mix
-from scansmith.llm.labelled import features, fit_in_one_task, fold, platt, scored, sigmoid, training_rows
+from scansmith.llm.labelled import fold, platt, scored, sigmoid, trained
 
 BUCKETS = 1 << 18
 TRAINING_ROWS = 6000
@@ -54,7 +54,7 @@ def ngrams(text: str) -> np.ndarray:
     return np.flatnonzero(seen).astype(np.uint32)
 
 
-def fit(labels: np.ndarray, rows: list[np.ndarray], _: list[np.ndarray]) -> bytes:
+def fit(labels: np.ndarray, rows: list[np.ndarray], _: list[np.ndarray], totals: tuple[int, int] | None = None) -> bytes:
     """The pickled (weights, intercept, a, b) of labels 0 or 1 and rows of buckets; no weights if there is one class."""
     if len(set(labels.tolist())) < 2:
         return pickle.dumps(None)
@@ -87,7 +87,7 @@ def fit(labels: np.ndarray, rows: list[np.ndarray], _: list[np.ndarray]) -> byte
     norm = np.abs(ratio)
     seen = np.flatnonzero(late) if late.any() else train
     margins = np.array([weights[rows[i]].sum() * scale[i] + intercept for i in seen])
-    return pickle.dumps((weights.astype(np.float32), norm.astype(np.float32), intercept, *platt(margins, labels[seen])))
+    return pickle.dumps((weights.astype(np.float32), norm.astype(np.float32), intercept, *platt(margins, labels[seen], totals)))
 
 
 def scorer(model: bytes):  # noqa: ANN201
@@ -109,8 +109,7 @@ def scorer(model: bytes):  # noqa: ANN201
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> bytes:
     """The model, from at most rows labelled documents outside fold 0."""
-    found = features(training_rows(docs, labels, "quality", rows), lambda t: (ngrams(t), np.zeros(0, np.uint32)))
-    return fit_in_one_task(found, fit)
+    return trained(docs, labels, "quality", rows, lambda t: (ngrams(t), np.zeros(0, np.uint32)), fit)
 
 
 def score_quality(docs: DataFrame, model: bytes, into: str = "score") -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scansmith.llm.common import map_texts
+from scansmith.llm.common import map_texts, unused
 
 BASE = ("assign", "access", "hex")
 KINDS = (*BASE, "github", "npm", "jwt", "pem")
@@ -141,7 +141,8 @@ def scan(docs: DataFrame, into: str = "spans") -> DataFrame:
 
 def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     """docs with a mark in place of each secret of text; what names it, and all other text and columns, stay."""
-    spans = F.sort_array(F.transform("_spans", lambda s: F.struct(s["value"].alias("start"), s["end"].alias("end"))))
+    own = unused(docs, "_spans")
+    spans = F.sort_array(F.transform(own, lambda s: F.struct(s["value"].alias("start"), s["end"].alias("end"))))
     merged = F.aggregate(
         spans,
         F.struct(F.lit("").alias("text"), F.lit(0).cast("long").alias("to")),
@@ -151,7 +152,7 @@ def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
         ),
         lambda a: F.concat(a["text"], F.col("text").substr((a["to"] + 1).cast("int"), F.length("text"))),
     )
-    return scan(docs, "_spans").withColumn("text", F.when(F.size("_spans") > 0, merged).otherwise(F.col("text"))).drop("_spans")
+    return scan(docs, own).withColumn("text", F.when(F.size(own) > 0, merged).otherwise(F.col("text"))).drop(own)
 
 
 def digest(spans: F.Column) -> F.Column:

@@ -5,12 +5,15 @@ boundaries; records are range-partitioned by them, and ranges that come out over
 their own keys, down to single rows, so a text that a third of all rows share is spread over many ranges. Exact range totals
 and their prefix sums then give every record its global place, from which shards follow.
 
-Equal texts stay in one shard unless their group is over 1/SPLIT of a shard. Groups over 1/LARGE of a shard - at most
-shards * LARGE of them, whatever the input - are placed first, largest first, into the emptiest shards; all others fill the
-shards' remaining room in key order. Shards so differ by about 1/LARGE of a shard, unless one record is larger than that.
+A text whose group of rows is over an average range, in rows or bytes, or over 1/LARGE of a shard is large: there are at most
+two a range and shards * LARGE of them. Boundaries fall inside large texts and before the first row of all others, so every
+group lies in one range or is large. Large groups are placed first, as wholes, largest first, into the emptiest shards, those
+over 1/SPLIT of a shard row by row; all others fill the shards' remaining room in key order. So equal texts share a shard, at
+every size, unless their group is over 1/SPLIT of a shard, and shards differ by about 1/LARGE of a shard, or by a record or
+group that is larger than that.
 
 Defined results: null text has size 1 and the checksum of no bytes; null doc_id sorts first; repeated rows each get a slot
-of their own; an empty table gives no rows; columns other than doc_id and text are ignored.
+of their own; an empty table gives no rows; columns other than doc_id and text are ignored, and kept by `write_shards`.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scansmith.llm.common import written
+from scansmith.llm.common import discard, unused, written
 
 SHARDS = 16
 LARGE, SPLIT = 64, 8
@@ -39,12 +42,11 @@ def _sampled(rows: DataFrame, weight: F.Column, expected: F.Column) -> list[tupl
     return [(r["range"], (int(r["h"][:16], 16), r["d"], r["uid"])) for r in rows.where(chance < weight * expected).select("range", "h", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("d"), "uid").collect()]
 
 
-def _boundaries(keys: list[tuple], parts: int) -> list[tuple]:
-    """Quantiles of a sample; one is moved to its text's first row if no other falls on that text."""
+def _boundaries(keys: list[tuple], parts: int, large: frozenset[int]) -> list[tuple]:
+    """Quantiles of a sample, moved to their text's first row unless it is large."""
     keys = sorted(keys)
-    cuts = sorted({keys[len(keys) * k // parts] for k in range(1, parts)} if keys else set())
-    texts = [c[0] for c in cuts]
-    return sorted({c if texts.count(c[0]) > 1 else (c[0], -(1 << 63), -1) for c in cuts}) if len(cuts) < 5000 else cuts
+    cuts = {keys[len(keys) * k // parts] for k in range(1, parts)} if keys else set()
+    return sorted({c if c[0] in large else (c[0], -(1 << 63), -1) for c in cuts})
 
 
 def _ranged(rows: DataFrame, cuts: list[tuple]) -> DataFrame:
@@ -70,11 +72,16 @@ def _ranged(rows: DataFrame, cuts: list[tuple]) -> DataFrame:
     return rows.mapInArrow(run, f"{fields}, range long")
 
 
-def split_ranges(rows: DataFrame, total: int, count: int, rows_a_range: int = ROWS_A_RANGE) -> DataFrame:
-    """rows (doc_id, size, h, uid, ...) with a range number that ascends with the key; no range is overfull."""
-    parts = min(max(1, -(-count // rows_a_range)), MOST_RANGES)
+def ranges_of(count: int, rows_a_range: int = ROWS_A_RANGE) -> int:
+    """How many ranges so many rows are cut into at first."""
+    return min(max(1, -(-count // rows_a_range)), MOST_RANGES)
+
+
+def split_ranges(rows: DataFrame, total: int, count: int, rows_a_range: int = ROWS_A_RANGE, large_texts: list[str] = ()) -> DataFrame:  # noqa: B006
+    """rows (doc_id, size, h, uid, ...) with a range number that ascends with the key; only those of large_texts lie in several, and no range is overfull."""
+    parts, large = ranges_of(count, rows_a_range), frozenset(int(h[:16], 16) for h in large_texts)
     weight = (F.col("size") / F.lit(float(max(total, 1))) + F.lit(1.0 / max(count, 1))) / 2
-    cuts = _boundaries([k for _, k in _sampled(rows.withColumn("range", F.lit(0)), weight, F.lit(float(parts * SAMPLES_A_RANGE)))], parts) if parts > 1 else []
+    cuts = _boundaries([k for _, k in _sampled(rows.withColumn("range", F.lit(0)), weight, F.lit(float(parts * SAMPLES_A_RANGE)))], parts, large) if parts > 1 else []
     for _ in range(ROUNDS):
         full = _ranged(rows, cuts)
         load = (F.sum("size") / F.lit(float(max(total, 1))) + F.count("*") / F.lit(float(max(count, 1)))) / 2 * parts
@@ -82,7 +89,7 @@ def split_ranges(rows: DataFrame, total: int, count: int, rows_a_range: int = RO
         if not over or parts == 1:
             break
         drawn = _sampled(full.where(F.col("range").isin([r for r, _ in over])), weight, F.lit(float(parts * SAMPLES_A_RANGE * 4)))
-        more = {c for r, x in over for c in _boundaries([k for q, k in drawn if q == r], int(2 * x) + 1)}
+        more = {c for r, x in over for c in _boundaries([k for q, k in drawn if q == r], int(2 * x) + 1, large)}
         if more <= set(cuts):
             break
         cuts = sorted({*cuts, *more})
@@ -119,18 +126,29 @@ def place_large(groups: list[tuple[str, int, int]], shards: int, target: float)
     return placed, [max(0.0, target - x) for x in load]
 
 
+def _keys(docs: DataFrame, uid: str) -> DataFrame:
+    """(doc_id, size, text_crc32, h, uid) of docs (doc_id, text, and a row number of that name)."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), F.md5(F.encode(text, "UTF-8")).alias("h"), F.col(uid).alias("uid"))
+
+
 def assign_shards(docs: DataFrame, shards: int = SHARDS, rows_a_range: int = ROWS_A_RANGE) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard) of every row of docs (doc_id, text), under law `bytes`."""
-    spark = docs.sparkSession
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    raw = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), F.md5(F.encode(text, "UTF-8")).alias("h"))
-    rows = written(raw.withColumn("uid", F.monotonically_increasing_id()), "keys")
+    keys = written(_keys(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("uid")), "uid"), "keys")
+    return _assigned(keys, shards, rows_a_range).drop("uid")
+
+
+def _assigned(rows: DataFrame, shards: int, rows_a_range: int) -> DataFrame:
+    """The columns of assign_shards, and uid, of rows as `_keys` gives them, which are read several times."""
+    spark = rows.sparkSession
     total, count = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
-    target = max(total, 1) / shards
+    target, parts = max(total, 1) / shards, ranges_of(count, rows_a_range)
     sums = rows.groupBy("h").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
-    placed, room = place_large([tuple(r) for r in sums.where(F.col("bytes") * LARGE > F.lit(target)).collect()], shards, target)
-    large = spark.createDataFrame(sorted({p[0] for p in placed}) and [(h,) for h in sorted({p[0] for p in placed})], "h string").withColumn("large", F.lit(True))
-    full = written(split_ranges(rows, total, count, rows_a_range).join(F.broadcast(large), "h", "left").withColumn("large", F.coalesce("large", F.lit(False))), "ranges")
+    wide = (F.col("bytes") * LARGE > F.lit(target)) | ((F.col("n") > 1) & ((F.col("bytes") * parts > F.lit(total)) | (F.col("n") * parts > F.lit(count))))
+    placed, room = place_large([tuple(r) for r in sums.where(wide).collect()], shards, target)
+    names = sorted({p[0] for p in placed})
+    large = spark.createDataFrame([(h,) for h in names], "h string").withColumn("large", F.lit(True))
+    full = written(split_ranges(rows, total, count, rows_a_range, names).join(F.broadcast(large), "h", "left").withColumn("large", F.coalesce("large", F.lit(False))), "ranges")
 
     # prefix sums over the ranges, and over the pieces of each large group: one row a range, and one a range and large group
     small = F.when(F.col("large"), 0).otherwise(F.col("size"))
@@ -163,6 +181,7 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS, rows_a_range: int = ROW
     hard = fine.where("large").join(parts, ["h", "range"]).join(spans, "h").where((at >= F.col("lo")) & (at < F.col("hi")))
     columns = ["doc_id", "size", "text_crc32", "h", "uid", "range", "shard"]
     out = written(easy.select(columns).unionByName(hard.select(columns)), "shards")
+    discard(full)
 
     seen: dict[int, int] = {}
     firsts = []
@@ -171,13 +190,16 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS, rows_a_range: int = ROW
         seen[s] = seen.get(s, 0) + n
     slot = F.row_number().over(Window.partitionBy("range", "shard").orderBy(*key)) - 1 + F.col("first")
     numbered = out.join(F.broadcast(spark.createDataFrame(firsts, "range long, shard int, first long")), ["range", "shard"]).withColumn("slot", slot.cast("long"))
-    return numbered.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    return numbered.select("uid", "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS) -> None:
-    """The rows of docs in one folder a shard, in slot order; doc_id must be unique here, to join the rows to their places."""
-    placed = assign_shards(docs, shards).select("doc_id", "shard", "slot")
-    docs.join(placed, "doc_id").repartitionByRange(shards * 4, "shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    """The rows of docs, all columns, in one folder a shard, in slot order; a column named shard or slot is replaced."""
+    docs = docs.drop("shard", "slot")
+    uid = unused(docs, "uid")
+    whole = written(docs.withColumn(uid, F.monotonically_increasing_id()), "records")
+    placed = _assigned(written(_keys(whole, uid), "keys"), shards, ROWS_A_RANGE).select(F.col("uid").alias(uid), "shard", "slot")
+    whole.join(placed, uid).drop(uid).repartitionByRange(shards * 4, "shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 
 def op10_sampled_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

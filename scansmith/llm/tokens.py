@@ -7,7 +7,11 @@ document numbers. Parts are ranges of doc_id, so part bases are prefix sums of t
 
 Text is split where a run of white space begins, and around a line feed alone; the byte-level pre-tokenizer always begins a
 new pre-token there, so the pieces encode alone as they do in the whole text. Pieces recur, and each worker keeps the IDs of
-a bounded number of them; the library encodes each piece that is not kept. Null text is empty and has the end ID alone. A null doc_id sorts first and is stored as -1 with a flag file.
+a bounded number of them; the library encodes each piece that is not kept. A text that holds an added token's string, such as
+``<|endoftext|>``, goes to the library whole, which gives that token its own ID.
+
+Defined results: null text is empty and has the end ID alone; very long texts are encoded whole, one at a time; repeated rows
+are written as often as they occur; a null doc_id sorts first and is stored as -1 with a flag file; no rows give no files.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scansmith.llm.common import bounded_batches, shared_folder
+from scansmith.llm.common import BATCH_ROWS, deleted_at_exit, shared_folder, small_batches
 
 if TYPE_CHECKING:
     from tokenizers import Tokenizer
@@ -82,7 +86,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = [t["content"] for t in json.loads(self.tokenizer.to_str()).get("added_tokens") or []]
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.pieces = _Pieces(self.tokenizer, "H" if self.dtype.itemsize == 2 else "I") if self._plain() else None
 
@@ -100,7 +104,7 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         """The IDs of a whole text as bytes of self.dtype, without an end ID."""
-        if self.pieces is None or _UNSURE.search(text):
+        if self.pieces is None or _UNSURE.search(text) or any(a in text for a in self.added):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
         if _ODD.search(text):
             pieces = _SEGMENT.findall(text)
@@ -146,7 +150,6 @@ def write_token_files(docs: DataFrame, folder: str | None = None, vocabulary: st
     folder = _place(folder or shared_folder(spark, "tokens"))
     path = vocabulary or default_vocabulary()
     os.makedirs(folder, exist_ok=True)
-    bounded_batches(spark)
     parts = min(max(1, -(-docs.count() // rows_a_part)), MOST_PARTS)
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("h"))
     keyed = keyed.repartitionByRange(parts, "doc_id", "h").sortWithinPartitions("doc_id", "h").drop("h").withColumn("part", F.spark_partition_id())
@@ -162,7 +165,7 @@ def write_token_files(docs: DataFrame, folder: str | None = None, vocabulary: st
                 part = batch.column("part")[0].as_py()
                 name = f"{folder}/{part:08d}"
                 out = open(own := f"{name}.{uuid.uuid4().hex}", "wb")  # noqa: SIM115
-            for text in batch.column("text").to_pylist():
+            for text in itertools.chain.from_iterable(batch.column("text").slice(at, BATCH_ROWS).to_pylist() for at in range(0, batch.num_rows, BATCH_ROWS)):
                 ids = encoder.encode(text or "") + end
                 out.write(ids)
                 total += len(ids) // encoder.dtype.itemsize
@@ -179,7 +182,8 @@ def write_token_files(docs: DataFrame, folder: str | None = None, vocabulary: st
             _put(f"{name}.null", str(docs_of.null_count).encode())
         yield pa.record_batch([pa.array([part], pa.int32()), pa.array([total], pa.int64()), pa.array([len(offsets) - 1], pa.int64())], ["part", "tokens", "docs"])
 
-    found = sorted(keyed.mapInArrow(run, "part int, tokens long, docs long").collect())
+    with small_batches(spark):
+        found = sorted(keyed.mapInArrow(run, "part int, tokens long, docs long").collect())
     base, out = 0, []
     for part, tokens, n in found:
         out.append((part, base, tokens, n))
@@ -193,7 +197,6 @@ def read_token_files(spark: SparkSession, folder: str, parts: list[tuple[int, in
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids
     if not parts:
         return spark.createDataFrame([], schema)
-    bounded_batches(spark)
     listed = spark.createDataFrame([(p, b) for p, b, _, _ in parts], "part int, base long").repartition(min(len(parts), 4096))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,4 +229,5 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's place, length and checksum, from the files that were written."""
     folder = shared_folder(spark, "tokens")
     parts = write_token_files(spark.read.parquet(f"{sf_dir}/documents.parquet"), folder)
+    deleted_at_exit(spark, folder)
     return read_token_files(spark, folder, parts)

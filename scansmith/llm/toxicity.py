@@ -3,10 +3,15 @@
 A lower-cased word with its boundaries is split into n-grams of MIN to MAX bytes, each hashed to one of BUCKETS embeddings.
 A text is the average of its subwords' embeddings, which a linear softmax turns into classes; both are trained jointly by
 mini-batches with per-coordinate step sizes in numpy. A misspelling or an ending that training never saw shares most of its
-n-grams, and so its vectors, with words that it did see. Margins of rows that the fit did not see set the score's sigmoid.
+n-grams, and so its vectors, with words that it did see.
 
-Defined results: an empty or null text, or one without words, scores as an average clean text; every row gets its own score;
-with no labels, or labels of one class, every score is 0.0.
+Only subwords whose frequency tells the classes apart (by EVIDENCE standard errors) are in the bag: on few labelled rows all
+others would only learn them by heart. A subword counts by the logarithm of its frequency, and a text has besides its own
+subwords PRIOR ones of an average clean text, so that short texts need stronger signs. Every training row's margin comes from
+a fit that did not see it, evidence included, and these margins set the score's sigmoid, at the labels' shares of the classes.
+
+Defined results: an empty or null text, or one without words or telling subwords, scores as an average clean text; very long
+texts are split in slices, whole; every row gets its own score; with no labels, or labels of one class, every score is 0.0.
 """
 
 from __future__ import annotations
@@ -18,14 +23,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scansmith.llm.common import _IS_WORD, _LOWER, SLICE, mix
-from scansmith.llm.labelled import features, fit_in_one_task, fold, platt, scored, sigmoid, training_rows
+from scansmith.llm.labelled import fold, platt, scored, sigmoid, trained
 
 BUCKETS = 1 << 18
 MIN, MAX = 3, 6
-DIMENSIONS, PASSES, BATCH, STEP = 8, 8, 32, 0.3
-PRIOR = 20.0  # subwords of an average clean text that every text has besides its own, so that short ones need stronger signs
+DIMENSIONS, BATCH, STEP = 8, 32, 0.3
+PASSES, MOST_PASSES, PASSED_ROWS = 8, 60, 48_000  # few rows are passed more often, for about as many steps
+SPLITS = 4
+PRIOR = 20.0  # subwords of an average clean text that every text has besides its own
 TRAINING_ROWS = 8000
-SEEN, SEEN_SHARE = 3, 0.0015  # a subword is learned that occurs in so many training rows, and in this share of them
+SEEN, EVIDENCE = 3, 3.0  # training rows that hold a learned subword, and standard errors between the classes' means
+RATE, LEAST = 1000, 200  # a subword's frequency is counted in so many subwords; shorter texts count as so long
 THRESHOLD = 0.5
 
 
@@ -59,41 +67,49 @@ def counted(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _damped(counts: np.ndarray) -> np.ndarray:
-    """A subword that recurs counts by the logarithm, so that no single word makes up a text."""
-    return np.log1p(counts)
+    """What subwords weigh that occur so often in a text: the logarithm of their frequency, so that no single word makes up a text."""
+    return np.log1p(counts * (RATE / max(int(counts.sum()), LEAST)))
+
+
+def evidence(labels: np.ndarray, rows: list[np.ndarray], values: list[np.ndarray]) -> np.ndarray:
+    """Standard errors by which each bucket's mean value differs between the classes; 0 for those that too few rows hold."""
+    sums, squares, seen = np.zeros((2, BUCKETS)), np.zeros(BUCKETS), np.zeros(BUCKETS, np.int64)
+    for y, row, value in zip(labels, rows, values, strict=True):
+        sums[y][row] += value
+        squares[row] += value**2
+        seen[row] += 1
+    n = np.bincount(labels, minlength=2)
+    variance = squares / n.sum() - (sums.sum(axis=0) / n.sum()) ** 2
+    out = np.abs(sums[1] / n[1] - sums[0] / n[0]) / np.sqrt(np.maximum(variance, 1e-12) * (1 / n).sum())
+    return np.where(seen >= SEEN, out, 0)
 
 
-def fit(labels: np.ndarray, rows: list[np.ndarray], counts: list[np.ndarray]) -> bytes:
-    """The pickled (value of each subword, margin of a clean text, a, b); None if there is one class.
+def _fitted(labels: np.ndarray, rows: list[np.ndarray], values: list[np.ndarray], seed: int) -> tuple[np.ndarray, float]:
+    """The value of each subword, NaN without an opinion, and the margin of an average clean text.
 
     For two classes the softmax needs the difference of the class weights only, so a subword's value is its embedding times
     that difference; the embeddings themselves stay behind.
     """
-    if len(set(labels.tolist())) < 2:
-        return pickle.dumps(None)
-    rng = np.random.default_rng(7)
-    late = rng.random(len(rows)) < 0.2
-    if len(set(labels[~late].tolist())) < 2 or len(set(labels[late].tolist())) < 2:
-        late[:] = False
-    train = np.flatnonzero(~late)
-    embeddings = (rng.random((BUCKETS, DIMENSIONS), np.float32) - np.float32(0.5)) / DIMENSIONS
+    rng = np.random.default_rng(seed)
+    known = np.flatnonzero(evidence(labels, rows, values) >= EVIDENCE)
+    place = np.full(BUCKETS, -1, np.int64)
+    place[known] = np.arange(len(known))
+    rows, values = [place[r] for r in rows], [v[place[r] >= 0] for r, v in zip(rows, values, strict=True)]
+    rows = [r[r >= 0] for r in rows]
+    share = [(v / (v.sum() + PRIOR)).astype(np.float32) for v in values]
+    n = max(1, len(known))
+    embeddings = (rng.random((n, DIMENSIONS), np.float32) - np.float32(0.5)) / DIMENSIONS
     softmax, bias = rng.normal(0, 0.5, (DIMENSIONS, 2)).astype(np.float32), np.zeros(2, np.float32)
-    squares, squares_s, squares_b = np.full((BUCKETS, DIMENSIONS), 1e-8, np.float32), np.full((DIMENSIONS, 2), 1e-6, np.float32), np.full(2, 1e-6, np.float32)
-    spread = np.zeros(BUCKETS, np.int64)
-    for i in train:
-        spread[rows[i]] += 1
-    known = spread >= max(SEEN, SEEN_SHARE * len(train))
-    rows, counts = [r[known[r]] for r in rows], [_damped(c[known[r]]) for r, c in zip(rows, counts, strict=True)]
-    share = [(c / (c.sum() + PRIOR)).astype(np.float32) for c in counts]
+    squares, squares_s, squares_b = np.full((n, DIMENSIONS), 1e-8, np.float32), np.full((DIMENSIONS, 2), 1e-6, np.float32), np.full(2, 1e-6, np.float32)
     weight = np.where(labels > 0, (labels == 0).sum() / max(1, (labels > 0).sum()), 1.0) ** 0.5
-    for p in range(PASSES):
-        order = rng.permutation(train)
-        rate = STEP * (1 - p / PASSES)
+    passes = min(max(PASSES, PASSED_ROWS // len(labels)), MOST_PASSES)
+    for p in range(passes):
+        order = rng.permutation(len(labels))
+        rate = STEP * (1 - p / passes)
         for lo in range(0, len(order), BATCH):
             batch = order[lo : lo + BATCH]
             sizes = np.array([len(rows[i]) for i in batch])
-            keep = sizes > 0
-            batch, sizes = batch[keep], sizes[keep]
+            batch, sizes = batch[sizes > 0], sizes[sizes > 0]
             if not len(batch):
                 continue
             index, value = np.concatenate([rows[i] for i in batch]), np.concatenate([share[i] for i in batch])
@@ -106,22 +122,47 @@ def fit(labels: np.ndarray, rows: list[np.ndarray], counts: list[np.ndarray]) ->
             error *= (weight[batch] / len(batch))[:, None].astype(np.float32)
             back = error @ softmax.T
             grad_s, grad_b = hidden.T @ error, error.sum(axis=0)
-            uniq, place = np.unique(index, return_inverse=True)
+            uniq, at = np.unique(index, return_inverse=True)
             per = np.repeat(back, sizes, axis=0) * value[:, None]
-            grad = np.stack([np.bincount(place, per[:, d], len(uniq)) for d in range(DIMENSIONS)], axis=1).astype(np.float32)
+            grad = np.stack([np.bincount(at, per[:, d], len(uniq)) for d in range(DIMENSIONS)], axis=1).astype(np.float32)
             squares[uniq] += grad**2
             embeddings[uniq] -= rate * grad / np.sqrt(squares[uniq])
             squares_s += grad_s**2
             softmax -= rate * 0.3 * grad_s / np.sqrt(squares_s)
             squares_b += grad_b**2
             bias -= rate * 0.3 * grad_b / np.sqrt(squares_b)
-    values = embeddings @ (softmax[:, 1] - softmax[:, 0])
-    values[~known] = np.nan  # no opinion
-    seen = np.flatnonzero(late) if late.any() else train
-    sums = np.array([float(values[rows[i]] @ share[i]) for i in range(len(rows))])
-    clean = float(sums[train][labels[train] == 0].mean())
-    margins = sums[seen] + np.array([PRIOR / (counts[i].sum() + PRIOR) for i in seen]) * clean
-    return pickle.dumps((values.astype(np.float32), clean, *platt(margins, labels[seen])))
+    told = embeddings @ (softmax[:, 1] - softmax[:, 0])
+    out = np.full(BUCKETS, np.nan, np.float32)
+    out[known] = told[: len(known)]
+    return out, float(np.mean([told[r] @ s for r, s, y in zip(rows, share, labels, strict=True) if y == 0]))
+
+
+def _margin(known: np.ndarray, clean: float, row: np.ndarray, value: np.ndarray) -> float:
+    told = known[row]
+    kept = ~np.isnan(told)
+    value = value[kept]
+    return float((told[kept].astype(np.float64) @ value + clean * PRIOR) / (value.sum() + PRIOR))
+
+
+def fit(labels: np.ndarray, rows: list[np.ndarray], counts: list[np.ndarray], totals: tuple[int, int] | None = None) -> bytes:
+    """The pickled (value of each subword, margin of a clean text, a, b); None if there is one class."""
+    if len(set(labels.tolist())) < 2:
+        return pickle.dumps(None)
+    values, rng = [_damped(c) for c in counts], np.random.default_rng(7)
+    split, margins = np.empty(len(labels), np.int64), np.full(len(labels), np.nan)
+    for y in (0, 1):  # both classes in each split
+        own = rng.permutation(np.flatnonzero(labels == y))
+        split[own] = np.arange(len(own)) % SPLITS
+    for k in range(SPLITS):
+        train, late = np.flatnonzero(split != k), np.flatnonzero(split == k)
+        if len(set(labels[train].tolist())) == 2:
+            part = _fitted(labels[train], [rows[i] for i in train], [values[i] for i in train], k)
+            margins[late] = [_margin(*part, rows[i], values[i]) for i in late]
+    whole = _fitted(labels, rows, values, SPLITS)
+    seen = ~np.isnan(margins)
+    if len(set(labels[seen].tolist())) < 2:  # a single row of a class
+        margins, seen = np.array([_margin(*whole, r, v) for r, v in zip(rows, values, strict=True)]), np.ones(len(labels), bool)
+    return pickle.dumps((*whole, *platt(margins[seen], labels[seen], totals)))
 
 
 def scorer(model: bytes):  # noqa: ANN201
@@ -132,22 +173,15 @@ def scorer(model: bytes):  # noqa: ANN201
     values, clean, a, b = known
 
     def score(texts: list[str]) -> np.ndarray:
-        out = np.full(len(texts), clean)
-        for i, text in enumerate(texts):
-            own, n = counted(text)
-            told = values[own].astype(np.float64)
-            kept = ~np.isnan(told)
-            if kept.any():
-                n = _damped(n[kept])
-                out[i] = (told[kept] @ n + clean * PRIOR) / (n.sum() + PRIOR)
-        return sigmoid(a * out + b)
+        found = [counted(text) for text in texts]
+        return sigmoid(a * np.array([_margin(values, clean, own, _damped(n)) for own, n in found]) + b)
 
     return score
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> bytes:
     """The model, from at most rows labelled documents outside fold 0."""
-    return fit_in_one_task(features(training_rows(docs, labels, "toxic", rows), counted), fit)
+    return trained(docs, labels, "toxic", rows, counted, fit)
 
 
 def score_toxicity(docs: DataFrame, model: bytes, into: str = "score") -> DataFrame:

@@ -1,14 +1,19 @@
 """Operators 1 and 3: nearest neighbours and near duplicates, against brute force."""
 
+import math
+import os
 import random
 import re
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 
 from scansmith.llm import near_dup, neighbours
 
+TABLES = "/root/testdata/sf0.01"
+
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOW = {i: i + 32 for i in range(65, 91)}
 
@@ -39,6 +44,32 @@ def test_nearest(spark, monkeypatch):
     assert sorted(map(tuple, out.collect())) == brute_nearest(rows, lambda q: q % 10 == 0, 10)
 
 
+@pytest.mark.parametrize("usual", [1e200, 5e-324, 1.0])
+def test_vectors_of_any_size(spark, usual):
+    """Squares beyond the range of doubles on either side, alone or in a cell with others; math.dist scales as well."""
+    rng = np.random.default_rng(9)
+    odd = [[1e200, 1e200], [-1e200, 1e200], [1.7e308, 1.7e308], [-1.7e308, 0.0], [5e-324, 0.0], [0.0, 1e-323], [1e-200, 2e-200], [3.0, -4.0]]
+    rows = list(enumerate(odd + [[float(x) * usual for x in rng.integers(1, 9, 2)] for _ in range(40)]))
+    df = neighbours.usable(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    out = {}
+    for r in neighbours.nearest(df, df, 5).orderBy("query_id", "rank").collect():
+        out.setdefault(r["query_id"], []).append((r["score"], r["vec_id"]))
+    for q, x in rows:
+        near = sorted((math.dist(x, y), i) for i, y in rows if i != q)
+        assert [s for s, _ in out[q]] == pytest.approx([d for d, _ in near[:5]], rel=1e-12, abs=0)
+        exact = [(neighbours.distances(np.array([y]), np.array(x))[0], i) for i, y in rows if i != q]
+        assert out[q] == sorted(exact)[:5]
+
+
+@pytest.mark.skipif(not os.path.isdir(TABLES), reason="no tables here")
+def test_query_against_sql(spark):
+    out = neighbours.op1_neighbours(spark, TABLES)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{TABLES}/embeddings.parquet'")
+    want = con.execute(neighbours.OP1_SQL).fetchall()
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 9)) for r in out.collect()) == sorted((q, k, v, round(s, 9)) for q, k, v, s in want)
+
+
 def test_nearest_of_nothing(spark):
     empty = neighbours.usable(spark.createDataFrame([], "vec_id long, embedding array<float>"))
     assert neighbours.nearest(empty, empty).count() == 0
@@ -61,9 +92,33 @@ def bags(docs):
     return out
 
 
-def brute_classes(docs):
-    """Classes of documents by links of weighted Jaccard 0.8 or more, or of equal text where there are no words."""
+def frequencies(own):
+    """The weight of each shingle over all documents, as the module's head states it."""
+    df = Counter(k for bag in own.values() if bag for k in bag)
+    usual = sum(df.values()) / near_dup.SKETCH
+    return {k: 1 + math.log((1 + len(own)) / (1 + min(len(own), max(n - usual, 1, 2 * usual**0.5)))) for k, n in df.items()}
+
+
+def brute_links(docs):
+    """Pairs of weighted Jaccard 0.8 or more by TF-IDF or by counts, or of equal text where there are no words."""
     own, text = bags(docs), dict(docs)
+    idf = frequencies(own)
+    mass = lambda bag: np.array([sum(bag.values()), sum(idf[k] * n for k, n in bag.items())])
+    total = {i: mass(bag) for i, bag in own.items() if bag}
+    for a in own:
+        for b in own:
+            if a < b:
+                if own[a] is None or own[b] is None:
+                    if own[a] is own[b] and (text[a] or "") == (text[b] or ""):
+                        yield a, b
+                elif 0.79 * max(len(own[a]), len(own[b])) <= 2 * min(len(own[a]), len(own[b])):
+                    both = mass(own[a] & own[b])
+                    if (both >= 0.8 * (total[a] + total[b] - both) - 1e-6).any():
+                        yield a, b
+
+
+def brute_classes(docs):
+    """Classes of documents by links."""
     root = {i: i for i, _ in docs}
 
     def find(x):
@@ -71,17 +126,9 @@ def brute_classes(docs):
             x = root[x]
         return x
 
-    for a in own:
-        for b in own:
-            if a < b:
-                if own[a] is None or own[b] is None:
-                    linked = own[a] is own[b] and (text[a] or "") == (text[b] or "")
-                else:
-                    both = sum((own[a] & own[b]).values())
-                    linked = both >= 0.8 * (sum(own[a].values()) + sum(own[b].values()) - both)
-                if linked:
-                    x, y = sorted((find(a), find(b)))
-                    root[y] = x
+    for a, b in brute_links(docs):
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
     return {i: find(i) for i in root}
 
 
@@ -128,11 +175,62 @@ def test_edited_copies_in_a_large_group(spark, monkeypatch, chunk):
     assert {r["doc_id"]: r["class_id"] for r in out} == {i: 0 if i > 280 else i for i, _ in docs} == brute_classes(docs)
 
 
+def test_weights_are_inverse_frequencies(spark):
+    rng = random.Random(8)
+    docs = corpus(rng)
+    idf = frequencies(bags(docs))
+    sketch, n = near_dup.document_frequencies(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert n == len(docs)
+    table = near_dup.idf_table(sketch, n)
+    assert len({round(v, 3) for v in idf.values()}) > 5 and min(idf.values()) < 0.8 * max(idf.values())
+    for i, t in docs[:60]:
+        found = [_ for _ in near_dup.hashed_words(near_dup.pa.array([t]))]
+        _, h, counts = near_dup.shingles(found[0][2], found[0][3])
+        own = bags([(i, t)])[i]
+        weights = near_dup._idf(table, near_dup._short(h)) * counts
+        assert sorted(np.round(weights, 3)) == pytest.approx(sorted(np.round([idf[k] * c for k, c in own.items()], 3)), abs=2e-3)
+
+
+def test_rare_content_links_what_common_content_parts(spark):
+    """Two texts that share their rare 60 of 90 shingles and differ in boilerplate: alike by weights, not by counts."""
+    rng = random.Random(10)
+    rare, boiler = words(rng, 70), [words(rng, 16) for _ in range(2)]
+    docs = [(0, f"{rare} {boiler[0]}"), (1, f"{rare} {boiler[1]}")]
+    docs += [(10 + i, f"{words(rng, 70)} {boiler[i % 2]}") for i in range(400)]
+    own = bags(docs)
+    both, either = (sum(x.values()) for x in (own[0] & own[1], own[0] | own[1]))
+    assert both < 0.8 * either
+    out = {r["doc_id"]: r["class_id"] for r in near_dup.classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert out == brute_classes(docs) and (out[1] == 0) == ((0, 1) in set(brute_links(docs)))
+
+
+@pytest.mark.skipif(not os.path.isdir(TABLES), reason="no tables here")
+def test_recall_on_the_given_documents(spark):
+    """Of all pairs of the table's documents that are alike by brute force, those in one class."""
+    docs = duckdb.sql(f"SELECT doc_id, text FROM '{TABLES}/documents.parquet'").fetchall()
+    out = {r["doc_id"]: r["class_id"] for r in near_dup.op3_near_dup(spark, TABLES).collect()}
+    assert set(out) == {i for i, _ in docs}
+    by = {}  # candidates share a shingle, so that brute force need not hold all pairs
+    for i, bag in bags(docs).items():
+        for k in bag or ():
+            by.setdefault(k, set()).add(i)
+    near = {(a, b) for ids in by.values() if len(ids) <= 60 for a in ids for b in ids if a < b}
+    own, idf = bags(docs), frequencies(bags(docs))
+    alike = []
+    for a, b in near:
+        both, either = own[a] & own[b], own[a] | own[b]
+        if sum(both.values()) >= 0.8 * sum(either.values()) or sum(idf[k] * n for k, n in both.items()) >= 0.8 * sum(idf[k] * n for k, n in either.items()):
+            alike.append((a, b))
+    assert len(alike) > 50
+    assert sum(out[a] == out[b] for a, b in alike) >= 0.98 * len(alike)
+    assert len(set(out.values())) >= len(docs) - len(alike)
+
+
 def test_deduplicate_keeps_columns_and_one_of_each(spark):
     t = words(random.Random(1), 50)
     rows = [(2, t, "a"), (1, t, "b"), (1, t, "b"), (None, "x y", "c"), (None, "x y", "c"), (5, None, "d"), (6, "", "e")]
-    out = near_dup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string, h string"))
-    assert out.columns == ["doc_id", "text", "h"]
+    out = near_dup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string, _h0 string"))
+    assert out.columns == ["doc_id", "text", "_h0"]
     assert sorted(map(repr, map(tuple, out.collect()))) == sorted(map(repr, [(1, t, "b"), (None, "x y", "c"), (5, None, "d")]))
     assert near_dup.deduplicate(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

@@ -1,15 +1,21 @@
 """Operators 5, 7, 9 and 10 and the pipeline."""
 
+import os
 import random
 import zlib
+from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
+from scansmith.llm import labelled as labelled_rows
 from scansmith.llm import packing, quality, sharding, toxicity, url_filter
 
 RULES = url_filter.RULES
+TABLES = "/root/testdata"
 
 
 def plain_verdict(url, rules):
@@ -56,10 +62,58 @@ def test_shards(spark, rows_a_range):
     assert sharding.assign_shards(df.limit(0)).count() == 0
 
 
+@pytest.mark.skipif(not os.path.isdir(TABLES), reason="no tables here")
+def test_url_query_against_sql(spark):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{TABLES}/sf0.01/pages.parquet'")
+    found = con.execute(url_filter.OP9_SQL)
+    out = url_filter.op9_url_filter(spark, f"{TABLES}/sf0.01").select(*(d[0] for d in found.description))
+    assert sorted(map(repr, map(tuple, out.collect()))) == sorted(map(repr, found.fetchall()))
+
+
+def test_long_urls(spark):
+    urls = ["http://org/" + "a/" * 100_000, "http://example.org/es/" + "x" * 300_000, "http://" + "h." * 50_000 + "org/x"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    frame = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    assert {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.filter_urls(pages, frame).collect()} == {i: plain_verdict(u, RULES) for i, u in enumerate(urls)}
+
+
 def test_ranges_are_never_overfull(spark):
     df = spark.range(2000).selectExpr("id AS doc_id", "1L AS size", "md5(string(id % 3)) AS h", "id AS uid")
-    counts = [r["count"] for r in sharding.split_ranges(df, 2000, 2000, 100).groupBy("range").count().collect()]
-    assert max(counts) <= 2.2 * 100
+    ranged = sharding.split_ranges(df, 2000, 2000, 100, [r["h"] for r in df.select("h").distinct().collect()])
+    assert max(r["count"] for r in ranged.groupBy("range").count().collect()) <= 2.2 * 100
+
+
+@pytest.mark.parametrize("groups, rows, shards, rows_a_range", [(333, 60, 2, 10), (40, 25, 4, 10), (120, 7, 3, 20)])
+def test_equal_texts_share_a_shard(spark, groups, rows, shards, rows_a_range):
+    """Groups of more rows than a range, of less than an eighth of a shard."""
+    df = spark.range(groups * rows).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), (F.col("id") % groups).cast("string")).alias("text"))
+    out = sharding.assign_shards(df, shards, rows_a_range).toPandas()
+    assert len(out) == groups * rows and set(out["shard"]) == set(range(shards))
+    own, sums = out.groupby("text_crc32")["shard"].nunique(), out.groupby("shard")["size"].sum()
+    assert (own == 1).all() and own.size == groups
+    assert sums.max() - sums.min() <= 2 * out.groupby("text_crc32")["size"].sum().max()
+    assert all(sorted(s) == list(range(len(s))) for _, s in out.groupby("shard")["slot"])
+
+
+def test_sharding_query_and_written_shards(spark, tmp_path):
+    rng = random.Random(4)
+    rows = [(i % 70 if i % 9 else None, rng.choice([None, "", "same", "é" * rng.randint(0, 50)]), i) for i in range(400)]  # repeated doc_id
+    df = spark.createDataFrame(rows, "doc_id long, text string, uid long")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    out = sharding.op10_sampled_sharding(spark, str(tmp_path)).collect()
+    told = lambda d, t: (d, len((t or "").encode()) + 1, zlib.crc32((t or "").encode()), "bytes", None)
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"], r["law"], r["grown_shard"]) for r in out) == Counter(told(d, t) for d, t, _ in rows)
+    places = {}
+    for r in out:
+        assert 0 <= r["shard"] < 16
+        places.setdefault(r["shard"], []).append(r["slot"])
+    assert all(sorted(p) == list(range(len(p))) for p in places.values())
+    sharding.write_shards(df, str(tmp_path / "shards"), 4)
+    back = spark.read.parquet(str(tmp_path / "shards"))
+    assert sorted(r["uid"] for r in back.collect()) == list(range(400))
+    assert back.select("shard", "slot").distinct().count() == 400
+    sharding.write_shards(df.limit(0), str(tmp_path / "none"), 4)
 
 
 def labelled(n, seed):
@@ -103,6 +157,37 @@ def test_classifiers_on_held_out_rows(spark, tables, query, place, flip):
     assert len(set(empty)) == 1 and (not flip or set(empty) == {0})
 
 
+@pytest.mark.skipif(not os.path.isdir(TABLES), reason="no tables here")
+@pytest.mark.parametrize("scale, query, label, right, recall", [("sf0.01", quality.op5_quality, "quality", 0.97, 0.98), ("sf0.01", toxicity.op7_toxicity, "toxic", 0.95, 0.8), ("sf0.1", toxicity.op7_toxicity, "toxic", 0.985, 0.93)])
+def test_classifiers_on_the_given_tables(spark, scale, query, label, right, recall):
+    """Held-out rows: share of right ones, and of the rows of class 1 that are found; the labels hold some noise."""
+    d = f"{TABLES}/{scale}"
+    known = dict(duckdb.sql(f"SELECT doc_id, {label} FROM '{d}/labels.parquet'").fetchall())
+    out = {r["doc_id"]: r for r in query(spark, d).collect()}
+    held = [i for i in known if i in out and zlib.crc32(str(i).encode()) % 5 == 0]
+    assert all(out[i]["held_out"] for i in held)
+    assert np.mean([out[i]["predicted"] == known[i] for i in held]) >= right
+    assert np.mean([out[i]["predicted"] for i in held if known[i]]) >= recall
+
+
+def test_scores_keep_to_the_shares_of_classes():
+    rng = np.random.default_rng(1)
+    labels = np.repeat([0, 1], 500)
+    margins = labels * 1.0 + rng.normal(size=1000)
+    a, b = labelled_rows.platt(margins, labels)
+    c, e = labelled_rows.platt(margins, labels, (9000, 1000))
+    assert labelled_rows.sigmoid(a * 0.5 + b) == pytest.approx(0.5, abs=0.05) and labelled_rows.sigmoid(c * 0.5 + e) == pytest.approx(0.1, abs=0.03)
+
+
+def test_training_features_are_bounded(spark):
+    rows = [(i, i % 2, np.arange(i % 7, dtype=np.uint32).tobytes(), np.ones(i % 7, np.uint32).tobytes()) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, label int, indices binary, counts binary")
+    told = lambda labels, indices, counts, totals: f"{len(labels)} {sum(x.nbytes for x in indices) + sum(x.nbytes for x in counts)} {totals}".encode()
+    assert labelled_rows.fit_in_one_task(df, told, (7, 9)) == f"200 {sum(len(r[2]) + len(r[3]) for r in rows)} (7, 9)".encode()
+    n, size, _ = labelled_rows.fit_in_one_task(df, told, (7, 9), 1000).split(b" ", 2)
+    assert 20 < int(n) < 200 and int(size) <= 1000
+
+
 @pytest.mark.parametrize("module, column, value", [(quality, "quality", 1.0), (toxicity, "toxic", 0.0)])
 def test_no_labels(spark, module, column, value):
     docs = spark.createDataFrame([(1, "a b", 9), (2, None, 9)], "doc_id long, text string, score int")
@@ -128,6 +213,17 @@ def test_pipeline(spark, tables):
     assert packed.columns[:5] == [f.split()[0] for f in packing.PIECES.split(", ")] and {r["doc_id"] for r in packed.collect()} == kept["secrets"]
 
 
+def test_stages_keep_columns_of_any_name(spark, tables):
+    d, _ = tables
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    odd = "_quality _spans _h0 _h _id _hash score spans uid h first".split()
+    docs = docs.select("*", *(F.lit(n).alias(n) for n in odd))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.written(stage(spark, docs, d), "odd")
+        assert docs.select(odd).distinct().collect() == [tuple(odd)]
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, d).count() > 0
+
+
 def test_pipeline_of_empty_tables(spark, tmp_path):
     for t, s in (("documents", "doc_id long, text string, lang string, source string, n_chars long"), ("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
         spark.createDataFrame([], s).write.parquet(str(tmp_path / f"{t}.parquet"))

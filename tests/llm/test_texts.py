@@ -1,16 +1,19 @@
 """Operators 2, 4, 6 and 8 and word hashing, against plain versions."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
 
 from scansmith.llm import common, decontaminate, packing, secrets, tokens
 
+TABLES = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOW = {i: i + 32 for i in range(65, 91)}
 PIECES = ["a", "bc", "é", "'s", "12", "..", "<|endoftext|>", "🙂", "_", "ª", "中", "²", " ", "  ", "\n", "\t", "\x1c", "\x85", "\u00a0", "\r", "\0", "\n\n", "Word", "don't"]
@@ -21,7 +24,6 @@ def library():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokens.default_vocabulary())
-    t.encode_special_tokens = True
     return lambda text: [*t.encode(text or "", add_special_tokens=False).ids, 2]
 
 
@@ -40,6 +42,13 @@ def test_encoder_agrees_with_the_library(library):
         assert np.frombuffer(e.encode(t), e.dtype).tolist() == library(t)[:-1], repr(t)
 
 
+def test_added_tokens_have_their_own_id(library):
+    e = tokens.Encoder.of(tokens.default_vocabulary())
+    for t in ("a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>", "a <|endoftext| b"):
+        assert np.frombuffer(e.encode(t), e.dtype).tolist() == library(t)[:-1]
+    assert library("a <|endoftext|> b") == [64, 220, 50256, 275, 2]
+
+
 def test_cache_stays_bounded_and_right(library, monkeypatch):
     monkeypatch.setattr(tokens, "CACHED_PIECES", 8)
     e = tokens.Encoder(tokens.default_vocabulary())
@@ -48,7 +57,7 @@ def test_cache_stays_bounded_and_right(library, monkeypatch):
     assert len(e.pieces) <= 9
 
 
-DOCS = [(5, "one two three"), (1, ""), (3, None), (2, "long words " * 3000), (5, "one two three"), (5, "again"), (9, "é 🙂\n\n x"), (None, "null id")]
+DOCS = [(5, "one two three"), (1, ""), (3, None), (2, "long words " * 3000), (5, "one two three"), (5, "again"), (9, "é 🙂\n\n x"), (None, "null id"), (10, "one <|endoftext|> two")]
 
 
 def test_token_files_round_trip(spark, library, tmp_path):
@@ -85,6 +94,55 @@ def test_packing(spark, library):
     assert packing.pack_documents(df.limit(0)).count() == 0
 
 
+@pytest.fixture(scope="module")
+def folder(spark, tmp_path_factory):
+    """A folder of documents that hold what the operators of this file look for."""
+    d, rng = str(tmp_path_factory.mktemp("documents")), random.Random(12)
+    rows = DOCS + [(100 + i, t) for i, t in enumerate(texts(120, 13))]
+    rows += [(300 + i, f"{t} {rng.choice(['password: ', 'TOKEN=', 'x'])}{'Ab9' * rng.randint(2, 9)} AKIA{'B' * rng.randint(10, 16)} {'0f' * rng.randint(5, 12)}") for i, t in enumerate(texts(60, 14))]
+    spark.createDataFrame([(*r, "s") for r in rows], "doc_id long, text string, source string").write.parquet(f"{d}/documents.parquet")
+    return d, rows
+
+
+def ordered(rows):
+    return sorted(rows, key=repr)
+
+
+def test_packing_query(spark, library, folder):
+    d, rows = folder
+    out = [tuple(r) for r in packing.op2_best_fit_packing(spark, d).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset").collect()]
+    want = []
+    for doc, t in rows:
+        ids = library(t)
+        want += [(doc, k, at, n, crc(ids[at : at + n])) for k, (at, n) in enumerate(packing.cut(len(ids)))]
+    assert ordered(r[:5] for r in out) == ordered(want)
+    ends = {}
+    for *_, n, _, sequence, offset in sorted(out, key=lambda r: r[5:]):  # gapless from 0
+        assert offset == ends.get(sequence, 0)
+        ends[sequence] = offset + n
+    assert max(ends.values()) <= 1024 and len(ends) <= -(-sum(r[3] for r in out) // 1024) + 1
+
+
+def test_token_file_query(spark, library, folder):
+    d, rows = folder
+    out = tokens.op6_token_files(spark, d).orderBy("start").collect()
+    assert [r["doc_id"] for r in out] == sorted((i for i, _ in rows), key=lambda i: (i is not None, i))
+    assert ordered((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in out) == ordered((i, len(library(t)), crc(library(t))) for i, t in rows)
+    assert [r["start"] for r in out] == np.append(0, np.cumsum([r["n_tokens"] for r in out]))[:-1].tolist()
+
+
+def test_secret_query(spark, folder):
+    d, rows = folder
+    out = [tuple(r) for r in secrets.op4_secrets(spark, d).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans").collect()]
+    want = []
+    for i, t in rows:
+        base = base_spans(t or "")
+        told = ",".join(f"{k}:{a}:{b}" for k, a, b in base)
+        counts = [sum(k == kind for k, *_ in base) for kind in secrets.BASE]
+        want.append((i, *counts, hashlib.sha256(told.encode()).hexdigest(), ",".join(f"{k}:{a}:{b}" for k, a, b, _ in secrets.find(t or ""))))
+    assert ordered(out) == ordered(want) and sum(r[1] + r[2] + r[3] for r in out) > 50
+
+
 def test_packing_is_never_worse_than_best_fit_decreasing():
     rng = np.random.default_rng(6)
     for _ in range(20):
@@ -204,7 +262,29 @@ def test_word_hashes_follow_words_alone(monkeypatch, size):
     assert len(set(seen.values())) == len(seen)
 
 
-def test_digest_is_sha256_of_joined_spans(spark):
-    df = spark.createDataFrame([(1, "secret=abcdefghijklm AKIA" + "A" * 16)], "doc_id long, text string")
-    spans = secrets.scan(df).select(secrets.digest(secrets.F.col("spans")).alias("s")).first()["s"]
-    assert spans == ",".join(f"{k}:{a}:{b}" for k, a, b in base_spans("secret=abcdefghijklm AKIA" + "A" * 16)) and hashlib.sha256(spans.encode()).hexdigest()
+@pytest.mark.skipif(not os.path.isdir(TABLES), reason="no tables here")
+def test_contamination_query_against_sql(spark):
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{TABLES}/{t}.parquet'")
+    found = con.execute(decontaminate.OP8_SQL)
+    out = decontaminate.op8_decontaminate(spark, TABLES).select(*(d[0] for d in found.description))
+    assert sorted(map(tuple, out.collect())) == sorted(found.fetchall())
+
+
+def test_columns_of_the_same_names_stay(spark):
+    df = spark.createDataFrame([(1, "token = " + "Z" * 20, "a", "b", "c")], "doc_id long, text string, _spans string, _id string, _hash string")
+    assert secrets.redact(df).first() == (1, "token = [secret]", "a", "b", "c")
+    bench = spark.createDataFrame([(1, "other words")], "item_id long, text string")
+    assert decontaminate.decontaminate(df, bench).collect() == df.collect()
+
+
+def test_session_keeps_its_batches_and_tables_go(spark):
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    out = common.written(spark.range(3).toDF("x"), "kept")
+    assert spark.conf.get(setting) == before and out.count() == 3
+    path = common._PLACES[out].removeprefix("file://")
+    assert os.path.isdir(path)
+    common.discard(out)
+    assert not os.path.exists(path)
