@@ -10,13 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scansmith.llm import decontaminate, near_dup, packing, quality, secrets
-from scansmith.llm.common import written
+from scansmith.llm.common import unused, written
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score reaches the threshold; an empty text has no sign of low quality and stays."""
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.score_quality(docs, model, "_quality").where(F.col("_quality") >= quality.THRESHOLD).drop("_quality")
+    score = unused(docs, "_quality")
+    return quality.score_quality(docs, model, score).where(F.col(score) >= quality.THRESHOLD).drop(score)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
