@@ -44,6 +44,13 @@ def corpus_sql(key: str = "o_orderkey", table: str = "orders", obfuscated: bool
     return f"SELECT concat('app/m', cast({key} % 97 AS varchar(20)), '/f', cast({key} AS varchar(20)), '.js') AS source, concat({head}, {', '.join(pieces)}) AS text FROM {table}"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores, if it has fewer partitions than there are cores: for narrow rows of which much is derived."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def corpus(spark: SparkSession, sf_dir: str, obfuscated: bool = False) -> DataFrame:
     """The corpus of a folder of tables."""
-    return spark.sql(corpus_sql(table="{orders}", obfuscated=obfuscated).replace("{", "{{").replace("}", "}}").replace("{{orders}}", "{orders}"), orders=spark.read.parquet(f"{sf_dir}/orders.parquet"))
+    orders = spread(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey"))
+    return spark.sql(corpus_sql(table="{orders}", obfuscated=obfuscated).replace("{", "{{").replace("}", "}}").replace("{{orders}}", "{orders}"), orders=orders)

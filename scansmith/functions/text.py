@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-import base64
-import binascii
-import re
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from scansmith.catalog import Pattern
 
@@ -57,54 +53,78 @@ def shannon_entropy(v: Column) -> Column:
     return F.when(n > 0, bits + F.lit(0.0)).otherwise(F.lit(0.0))
 
 
-_OBFUSCATED = "\\\\[xu][0-9a-fA-F]{2}|atob|btoa|fromCharCode|[\"']\\s*\\+\\s*[\"']"
-_HEX, _UNICODE = re.compile(r"\\x([0-9a-fA-F]{2})"), re.compile(r"\\u([0-9a-fA-F]{4})")
-_ATOB, _BTOA = re.compile(r"atob\s*\(\s*[\"']([A-Za-z0-9+/=]+)[\"']\s*\)"), re.compile(r"btoa\s*\(\s*[\"']([^\"']+)[\"']\s*\)")
-_JOIN = re.compile(r"([\"'])([^\"']*)\1\s*\+\s*([\"'])([^\"']*)\3")
-_CODES = re.compile(r"String\.fromCharCode\s*\(\s*([\d,\s]+)\s*\)")
+# The shapes of what obfuscation leaves, which fix what is undone.
+_HEX, _UNICODE = "\\\\x([0-9a-fA-F]{2})", "\\\\u([0-9a-fA-F]{4})"
+_ATOB, _BTOA = "atob\\s*\\(\\s*[\"']([A-Za-z0-9+/=]+)[\"']\\s*\\)", "btoa\\s*\\(\\s*[\"']([^\"']+)[\"']\\s*\\)"
+_SUM = "([\"'])([^\"']*)\\1\\s*\\+\\s*([\"'])([^\"']*)\\3"
+_CODES = "String\\.fromCharCode\\s*\\(\\s*([0-9,\\s]+)\\s*\\)"
+_HALVINGS = 30  # of sums: a sum of 2**30 strings is one string after so many passes
 
 
-def _decoded(m: re.Match) -> str:
-    try:
-        return f'"{base64.b64decode(m[1]).decode("utf-8", "replace")}"'
-    except (binascii.Error, ValueError):
-        return m[0]
+def let(c: Column, use: Callable[[Column], Column]) -> Column:
+    """use(c) with c computed once, however often use names it."""
+    return F.get(F.transform(F.array(c), use), F.lit(0))
 
 
-def _from_codes(m: re.Match) -> str:
-    try:
-        return '"' + "".join(chr(int(c)) for c in m[1].split(",")) + '"'
-    except (ValueError, OverflowError):
-        return m[0]
+def _replaced(text: Column, regex: str, by: Callable[[Column], Column]) -> Column:
+    """text with by(match) in place of each match of regex; where that is null, the match stays."""
+    regex = java(regex)
+    return F.array_join(F.zip_with(F.split(text, regex, -1), F.regexp_extract_all(text, F.lit(regex), F.lit(0)), lambda t, m: F.concat(t, F.coalesce(by(m), m, F.lit("")))), "")
 
 
-def plain(text: str) -> str:
-    """Escapes, base64 literals, string sums and character codes replaced by what they stand for; U+FFFD for half a surrogate pair."""
-    text = _UNICODE.sub(lambda m: chr(int(m[1], 16)), _HEX.sub(lambda m: chr(int(m[1], 16)), text))
-    text = _BTOA.sub(lambda m: f'"{base64.b64encode(m[1].encode("utf-8", "surrogatepass")).decode()}"', _ATOB.sub(_decoded, text))
-    before = None
-    while before != text:
-        before, text = text, _JOIN.sub(lambda m: f'"{m[2]}{m[4]}"', text)
-    return _CODES.sub(_from_codes, text).encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+def _of_utf16(units: Column) -> Column:
+    """The text of hexadecimal UTF-16 units, each followed by a blank; half a pair becomes U+FFFD."""
+    whole = F.regexp_replace(units, "(?i)\\b(?:d[89ab][0-9a-f]{2} (?!d[c-f])|(?<!\\bd[89ab][0-9a-f]{2} )d[c-f][0-9a-f]{2} )", "fffd ")
+    return F.decode(F.unhex(F.replace(whole, F.lit(" "), F.lit(""))), "UTF-16BE")
 
 
-@F.pandas_udf(StringType())
-def _plain(texts: pd.Series) -> pd.Series:
-    return texts.map(plain, na_action="ignore")
+def _quoted(c: Column) -> Column:
+    return F.concat(F.lit('"'), c, F.lit('"'))
 
 
-def deobfuscated(text: Column) -> Column:
-    """text without simple obfuscation; only texts with a sign of it go to Python."""
-    return F.when(text.rlike(_OBFUSCATED), _plain(F.when(text.rlike(_OBFUSCATED), text))).otherwise(text)
+def _of_base64(m: Column) -> Column:
+    """The text in a call that decodes base64, null if it is none: data end at the first padding, which must fill its block of four."""
+    said = F.regexp_extract(m, java(_ATOB), 1)
+    data = F.regexp_extract(said, "^[^=]*", 0)
+    rest, pads = F.length(data) % 4, F.length(said) - F.length(F.replace(said, F.lit("="), F.lit("")))
+    good = (rest == 0) | ((rest == 2) & (pads >= 2)) | ((rest == 3) & (pads >= 1))
+    read = F.try_to_binary(F.rpad(data, (F.ceil(F.length(data) / 4) * 4).cast("int"), F.lit("=")), F.lit("base64"))
+    return F.when(good & F.startswith(said, data), _quoted(F.make_valid_utf8(read.cast("string"))))
+
+
+def _of_codes(m: Column) -> Column:
+    """The text of character codes, null if one is no number or no character."""
+    codes = F.transform(F.split(F.regexp_extract(m, java(_CODES), 1), ","), lambda c: strip(c).try_cast("decimal(38,0)"))
+    good = F.forall(codes, lambda c: c.isNotNull() & (c <= 0x10FFFF))
+    units = lambda c: F.when(c < 0x10000, F.format_string("%04x ", c)).otherwise(F.format_string("%04x %04x ", F.shiftright(c - 0x10000, 10) + 0xD800, (c - 0x10000) % 1024 + 0xDC00))
+    return F.when(good, _quoted(_of_utf16(F.array_join(F.transform(codes, lambda c: units(c.cast("int"))), ""))))
 
 
-def collapsed_sums(text: Column, passes: int = 10) -> Column:
-    """Sums of string literals as one literal, by expressions alone: `passes` halvings cover 2**passes operands."""
-    for _ in range(passes):
-        text = F.regexp_replace(text, "([\"'])([^\"']*)\\1\\s*\\+\\s*([\"'])([^\"']*)\\3", '"$2$4"')
+def collapsed_sums(text: Column, passes: int = _HALVINGS) -> Column:
+    """Sums of string literals as one literal: each pass halves their operands."""
+    return F.aggregate(F.sequence(F.lit(1), F.lit(passes)), text, lambda t, _: F.when(F.contains(t, F.lit("+")), F.regexp_replace(t, java(_SUM), '"$2$4"')).otherwise(t))
+
+
+def plain(text: Column) -> Column:
+    """Escapes, base64 literals, string sums and character codes replaced by what they stand for, in this order; U+FFFD for half a surrogate pair."""
+    runs = lambda regex: f"(?:{regex})+"
+    steps = [
+        ("\\x", lambda t: _replaced(t, runs(_HEX), lambda m: F.decode(F.unhex(F.replace(m, F.lit("\\x"), F.lit(""))), "ISO-8859-1"))),
+        ("\\u", lambda t: _replaced(t, runs(_UNICODE), lambda m: _of_utf16(F.regexp_replace(m, java(_UNICODE), "$1 ")))),
+        ("atob", lambda t: _replaced(t, _ATOB, _of_base64)),
+        ("btoa", lambda t: _replaced(t, _BTOA, lambda m: _quoted(F.base64(F.encode(F.regexp_extract(m, java(_BTOA), 1), "UTF-8"))))),
+        ("+", lambda t: F.when(t.rlike("[\"'](?U:\\s*)\\+"), collapsed_sums(t)).otherwise(t)),
+        ("fromCharCode", lambda t: _replaced(t, _CODES, _of_codes)),
+    ]
+    gated = lambda sign, step: lambda t: F.when(F.contains(t, F.lit(sign)), step(t)).otherwise(t)
+    for sign, step in steps:
+        text = let(text, gated(sign, step))
     return text
 
 
-def register(spark: SparkSession) -> None:
-    """deobfuscate(text) for SQL."""
-    spark.udf.register("deobfuscate", _plain)
+def deobfuscated(text: Column) -> Column:
+    """text without simple obfuscation, by expressions alone; those of a step run only on texts with a sign of it."""
+    signs = F.lit(False)
+    for sign in ("\\x", "\\u", "atob", "btoa", "fromCharCode"):
+        signs = signs | F.contains(text, F.lit(sign))
+    return F.when(signs | text.rlike("[\"'](?U:\\s*)\\+"), plain(text)).otherwise(text)

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from scansmith.operators.validate import endpoint
 
@@ -40,11 +40,20 @@ def call_strings(text: str) -> list[tuple[str, int]]:
     return out
 
 
-def call_endpoints(docs: DataFrame) -> DataFrame:
-    """(source, value, line) of endpoints that docs (source, text) pass to calls."""
+_MATCHES = ArrayType(StructType([StructField(n, t) for n, t in (("match_ord", IntegerType()), ("value", StringType()), ("line", IntegerType()), ("after", StringType()))]))
+
+
+@F.pandas_udf(_MATCHES)
+def _call_matches(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: [{"match_ord": k, "value": v, "line": n, "after": None} for k, (v, n) in enumerate(call_strings(t))] if t else [])
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for df in frames:
-            yield pd.DataFrame([(s, v, n) for s, t in zip(df["source"], df["text"], strict=True) for v, n in call_strings(t or "")], columns=["source", "value", "line"])
 
-    return docs.select("source", "text").mapInPandas(run, "source string, value string, line int").where(endpoint(F.col("value")))
+def call_matches(text: Column) -> Column:
+    """The strings of `call_strings` as the match kernel gives matches."""
+    return _call_matches(F.when(F.contains(text, F.lit("(")), text))
+
+
+def call_endpoints(docs: DataFrame) -> DataFrame:
+    """(source, value, line) of endpoints that docs (source, text) pass to calls."""
+    found = docs.select("source", F.explode(call_matches(F.col("text"))).alias("m"))
+    return found.select("source", "m.value", "m.line").where(endpoint(F.col("value")))

@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 
 from scansmith import catalog as C
 from scansmith.catalog import Pattern
-from scansmith.functions.text import deobfuscated, java, java_of
-from scansmith.operators.match import matches
+from scansmith.functions.text import java
 
 _OPERATOR = "\\s*(?:\\|\\||&&|\\?\\?)"
 ENV_RISK = [
@@ -32,24 +31,14 @@ def frameworks(text: Column) -> Column:
     return F.filter(F.array(*seen), lambda x: x.isNotNull())
 
 
-_DEFINE = Pattern(17, 0, "debug", "Webpack DefinePlugin", "new\\s+webpack\\.DefinePlugin\\s*\\(\\s*\\{([^}]+)\\}", needles=("webpack.defineplugin",))
+DEFINE = Pattern(17, 0, "debug", "Webpack DefinePlugin", "new\\s+webpack\\.DefinePlugin\\s*\\(\\s*\\{([^}]+)\\}", needles=("webpack.defineplugin",))
 _ENTRY = java("[\"']?([A-Z_][A-Z_0-9.]*)[\"']?\\s*:\\s*(?:JSON\\.stringify\\s*\\(\\s*)?[\"']([^\"']+)[\"']")
 
 
-def webpack_defines(docs: DataFrame, undo: bool = True) -> DataFrame:
-    """Findings of the entries of bundler definitions in docs (source, text); an entry has its block's line."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    ready = docs.select("source", (deobfuscated(text) if undo else text).alias("text")).where(F.lower("text").contains("webpack.defineplugin"))
-    blocks = ready.select("source", F.explode(matches(F.col("text"), F.lit(java_of(_DEFINE)), F.lit(1))).alias("m")).select("source", "m.*", F.lit(17).alias("pass_ord"))
-    pairs = F.arrays_zip(F.regexp_extract_all("value", F.lit(_ENTRY), F.lit(1)).alias("k"), F.regexp_extract_all("value", F.lit(_ENTRY), F.lit(2)).alias("v"))
-    rows = blocks.select("source", "line", "pass_ord", F.col("match_ord").alias("block"), F.posexplode(pairs).alias("entry", "x"))
-    none = lambda t: F.lit(None).cast(t)
-    return rows.select(
-        "source", "line", "pass_ord", F.lit(0).alias("pat_ord"), (F.col("block") * 100_000 + F.col("entry")).cast("int").alias("match_ord"), F.lit("debug").alias("category"),
-        F.concat(F.lit("DefinePlugin: "), "x.k", F.lit(" = "), "x.v").alias("value"), F.lit("Webpack DefinePlugin").alias("type"), none("int").alias("raw_len"), none("string").alias("confidence"),
-        none("double").alias("entropy"), none("boolean").alias("validated"), none("string").alias("source_framework"), none("boolean").alias("has_default"), none("boolean").alias("env_risk"),
-        none("string").alias("after"), none("string").alias("check"), none("string").alias("shown"), none("string").alias("prefix"), none("string").alias("raw"), none("string").alias("line_text"),
-    )
+def define_entries(block: Column) -> Column:
+    """What findings say of the entries of a bundler's definition block, in order."""
+    pairs = F.arrays_zip(F.regexp_extract_all(block, F.lit(_ENTRY), F.lit(1)).alias("k"), F.regexp_extract_all(block, F.lit(_ENTRY), F.lit(2)).alias("v"))
+    return F.transform(pairs, lambda x: F.concat(F.lit("DefinePlugin: "), x["k"], F.lit(" = "), x["v"]))
 
 
 def provider(host: Column) -> Column:
@@ -62,3 +51,16 @@ def cdn_summary(docs: DataFrame) -> DataFrame:
     hosts = docs.select("source", F.explode(F.regexp_extract_all("text", F.lit("https?://([a-zA-Z0-9.-]+)"), F.lit(1))).alias("host")).withColumn("host", F.lower("host"))
     known = hosts.withColumn("provider", provider(F.col("host"))).where("provider IS NOT NULL")
     return known.groupBy("source", "provider").agg(F.count("*").alias("count"), F.sort_array(F.collect_set("host")).alias("domains"))
+
+
+def document_summary(docs: DataFrame) -> DataFrame:
+    """(kind, name, n, domains) over all docs (source, text), read once: their number, the documents with signs of each framework, and how often each provider is named, by how many hosts."""
+    hosts = F.transform(F.regexp_extract_all("text", F.lit("https?://([a-zA-Z0-9.-]+)"), F.lit(1)), F.lower)
+    row = lambda kind, name, host: F.struct(F.lit(kind).alias("kind"), name.alias("name"), host.alias("host"))
+    none = F.lit(None).cast("string")
+    told = F.concat(
+        F.array(row("document", none, none)),
+        F.coalesce(F.transform(frameworks(F.col("text")), lambda f: row("framework", f, none)), F.array()),
+        F.coalesce(F.filter(F.transform(hosts, lambda h: row("provider", provider(h), h)), lambda x: x["name"].isNotNull()), F.array()),
+    )
+    return docs.select(F.explode(told).alias("x")).select("x.*").groupBy("kind", "name").agg(F.count("*").alias("n"), F.countDistinct("host").alias("domains"))

@@ -107,29 +107,48 @@ def in_category(findings: DataFrame, category: str) -> DataFrame:
     return findings.where(F.col("category") == category).select("line", "value", F.substring_index("source", "/", -1).alias("file"))
 
 
+def without_dots(path: Column) -> Column:
+    """A path from the root with its segments `.` and `..` followed; a `..` too many is dropped."""
+    parts = F.split(path, "/", -1)
+    dots = lambda p: p.isin(".", "..")
+    followed = F.aggregate(
+        F.slice(parts, F.lit(2), F.size(parts)),
+        F.array().cast("array<string>"),
+        lambda a, p: F.when(p == "..", F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0)))).when(p == ".", a).otherwise(F.array_append(a, p)),
+        lambda a: F.concat(F.lit("/"), F.array_join(F.when(dots(F.element_at(parts, -1)), F.array_append(a, F.lit(""))).otherwise(a), "/")),
+    )
+    return F.when(F.exists(parts, dots), followed).otherwise(path)
+
+
 def resolved(endpoints: DataFrame, base: str) -> DataFrame:
     """endpoints (value, ...) with resolved_url against a base; values that do not begin with a slash have none."""
     base = base if base.startswith(("http://", "https://")) else f"https://{base}"
     scheme, _, rest = base.partition("://")
     root, v = f"{scheme}://{rest.split('/')[0]}", F.col("value")
-    path = F.regexp_replace(F.regexp_replace(v, "/\\./", "/"), "/[^/]+/\\.\\./", "/")
+    path = F.concat(without_dots(F.regexp_extract(v, "^[^?#]*", 0)), F.regexp_extract(v, "^[^?#]*((?s:.*))$", 1))
     return endpoints.withColumn("resolved_url", F.when(F.startswith(v, F.lit("//")), F.concat(F.lit(f"{scheme}:"), v)).when(F.startswith(v, F.lit("/")), F.concat(F.lit(root), path)))
 
 
 _VERSION = "/v([0-9]+)(?:\\.[0-9]+)?/"
 
 
+def _version(value: Column) -> Column:
+    """The version that a value names, null for none, or one of over 18 digits."""
+    return F.regexp_extract(value, _VERSION, 1).try_cast("long")
+
+
 def api_versions(endpoints: DataFrame) -> DataFrame:
     """(version, n): the versions that endpoints name, and how many do."""
-    return endpoints.select(F.regexp_extract("value", _VERSION, 1).alias("v")).where("v <> ''").groupBy(F.col("v").cast("int").alias("version")).agg(F.count("*").alias("n"))
+    return endpoints.select(_version(F.col("value")).alias("version")).where("version IS NOT NULL").groupBy("version").agg(F.count("*").alias("n"))
 
 
 def version_suggestions(endpoints: DataFrame, most: int = 50) -> DataFrame:
     """The first `most` endpoints, by template and version, of every template with every version up to two beyond the greatest."""
-    named = endpoints.where(F.col("value").rlike(_VERSION))
-    greatest = named.agg(F.max(F.regexp_extract("value", _VERSION, 1).cast("int")).alias("top")).where("top IS NOT NULL")
-    templates = named.select(F.regexp_replace("value", _VERSION, "/v{VERSION}/").alias("template")).distinct()
-    each = templates.join(F.broadcast(greatest), F.lit(True)).select("template", F.explode(F.sequence(F.lit(1), F.col("top") + 2)).alias("version"))
+    named = endpoints.select(F.regexp_replace("value", _VERSION, "/v{VERSION}/").alias("template"), _version(F.col("value")).alias("version")).where("version IS NOT NULL")
+    greatest = named.agg(F.max("version").alias("top")).where("top IS NOT NULL")
+    # a template gives no more than `most`, whatever the greatest version is; the first templates are enough
+    templates = named.select("template").distinct().orderBy("template").limit(most)
+    each = templates.join(F.broadcast(greatest), F.lit(True)).select("template", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.col("top") + 2, F.lit(most)))).alias("version"))
     return each.select("template", "version", F.replace("template", F.lit("{VERSION}"), F.col("version").cast("string")).alias("suggestion")).orderBy("template", "version").limit(most)
 
 
@@ -170,14 +189,15 @@ def vulnerability_table(spark: SparkSession) -> DataFrame:
 
 
 def version_numbers(v: Column) -> Column:
-    """The first three numbers of a version, missing ones 0."""
-    parts = F.transform(F.filter(F.split(F.regexp_replace(v, "[^0-9.]", ""), "\\."), lambda p: p != ""), lambda p: p.cast("long"))
-    return F.slice(F.concat(parts, F.array(F.lit(0), F.lit(0), F.lit(0)).cast("array<long>")), 1, 3)
+    """The first three numbers of a version, missing ones 0; one of over 38 digits counts as the greatest of 38."""
+    number = lambda p: F.coalesce(p.try_cast("decimal(38,0)"), F.lit("9" * 38).cast("decimal(38,0)"))
+    parts = F.transform(F.filter(F.split(F.regexp_replace(v, "[^0-9.]", ""), "\\."), lambda p: p != ""), number)
+    return F.slice(F.concat(parts, F.array(F.lit(0), F.lit(0), F.lit(0)).cast("array<decimal(38,0)>")), 1, 3)
 
 
 def vulnerable(dependencies: DataFrame, table: DataFrame) -> DataFrame:
-    """(package, installed, fixed_in, cve, severity) of dependencies (package, installed) below a table's versions."""
-    found = dependencies.join(F.broadcast(table), "package").where((F.regexp_replace("installed", "[^0-9.]", "") != "") & (version_numbers(F.col("installed")) < version_numbers(F.col("below"))))
+    """(package, installed, fixed_in, cve, severity) of dependencies (package, installed) below a table's versions; Spark broadcasts a small table itself."""
+    found = dependencies.join(table, "package").where((F.regexp_replace("installed", "[^0-9.]", "") != "") & (version_numbers(F.col("installed")) < version_numbers(F.col("below"))))
     return found.select(*(c for c in dependencies.columns if c != "installed"), "installed", F.col("below").alias("fixed_in"), "cve", "severity")
 
 

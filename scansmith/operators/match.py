@@ -1,7 +1,7 @@
 """The match kernel: all matches of a regular expression in a text, with the line of each, by expressions alone.
 
 For an expression, `split` gives what lies between its matches and `regexp_extract_all` the matches; adding up line feeds
-along both gives each match's line. Which patterns run on a text is decided by their literal needles: one pass of substring
+along both gives each match's line; a text without a match is searched once. Which patterns run on a text is decided by their literal needles: one pass of substring
 searches over the lower-cased text, so a text meets the few expressions that it may match, not the whole catalogue.
 """
 
@@ -14,7 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from scansmith.catalog import Pattern
-from scansmith.functions.text import newlines
+from scansmith.functions.text import let, newlines
 
 
 def present(low: Column, p: Pattern) -> Column:
@@ -22,23 +22,30 @@ def present(low: Column, p: Pattern) -> Column:
     return reduce(lambda a, b: a | b, (F.contains(low, F.lit(n)) for n in p.needles)) if p.needles else F.lit(True)
 
 
-def candidates(low: Column, patterns: Sequence[Pattern]) -> Column:
-    """The places in `patterns` of those that a lower-cased text may match, ascending."""
-    return F.filter(F.array(*(F.when(present(low, p), F.lit(i)) for i, p in enumerate(patterns))), lambda i: i.isNotNull())
+def candidates(conditions: Sequence[Column]) -> Column:
+    """The places of the conditions that hold, ascending."""
+    return F.filter(F.array(*(F.when(c, F.lit(i)) for i, c in enumerate(conditions))), lambda i: i.isNotNull())
 
 
 def matches(text: Column, regex: Column, group: Column) -> Column:
-    """Array of (match_ord, value, line, after): each match's group, its line, and what follows it up to the next one."""
-    whole = F.regexp_extract_all(text, regex, F.lit(0))
+    """Array of (match_ord, value, line, after): each match's group, its line, and what follows it up to the next one; null for no match."""
+    return let(F.regexp_extract_all(text, regex, F.lit(0)), lambda whole: F.when(F.size(whole) > 0, _placed(text, regex, group, whole)))
+
+
+def _placed(text: Column, regex: Column, group: Column, whole: Column) -> Column:
     between = F.split(text, regex, -1)
     # line feeds before each match: those between matches so far and those within the matches before it
-    lines = F.aggregate(
-        F.arrays_zip(F.slice(between, F.lit(1), F.size(whole)).alias("b"), whole.alias("w")),
+    lines = lambda zipped: F.aggregate(
+        zipped,
         F.struct(F.lit(1).alias("line"), F.array().cast("array<int>").alias("out")),
         lambda a, x: F.struct((a["line"] + newlines(x["b"]) + newlines(x["w"])).cast("int").alias("line"), F.array_append(a["out"], (a["line"] + newlines(x["b"])).cast("int")).alias("out")),
         lambda a: a["out"],
     )
-    values = F.when(group == 0, whole).otherwise(F.regexp_extract_all(text, regex, group))
-    zipped = F.arrays_zip(values.alias("v"), lines.alias("l"), F.slice(between, F.lit(2), F.size(whole)).alias("a"))
-    rows = F.transform(zipped, lambda x, i: F.struct(i.cast("int").alias("match_ord"), x["v"].alias("value"), x["l"].alias("line"), x["a"].alias("after")))
-    return F.when(F.size(whole) > 0, rows)
+    # a match holds its group, so that the expression need not search the text again
+    value = lambda w: F.when(group == 0, w).otherwise(F.call_function("regexp_extract", w, regex, group))
+    rows = lambda parts: F.zip_with(
+        F.arrays_zip(whole.alias("w"), F.slice(parts, F.lit(2), F.size(whole)).alias("a")),
+        lines(F.arrays_zip(F.slice(parts, F.lit(1), F.size(whole)).alias("b"), whole.alias("w"))),
+        lambda x, line: F.struct(value(x["w"]).alias("value"), line.alias("line"), x["a"].alias("after")),
+    )
+    return F.transform(let(between, rows), lambda x, i: F.struct(i.cast("int").alias("match_ord"), x["value"].alias("value"), x["line"].alias("line"), x["after"].alias("after")))

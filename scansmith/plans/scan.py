@@ -1,7 +1,8 @@
 """scan(): documents to findings, one plan.
 
 Project (undo obfuscation) - generate (patterns that may match) - generate (their matches) - filter (checks) - first of each
-(document, category, value). Text is read once and never shuffled; what is shuffled are findings, after a partial aggregation.
+(document, category, value). Text is read once, whatever the options, and never shuffled; what is shuffled are findings, after
+a partial aggregation. Only the option `ast` sends texts to Python.
 """
 
 from __future__ import annotations
@@ -14,8 +15,8 @@ from pyspark.sql import functions as F
 from scansmith import catalog as C
 from scansmith.catalog import Pattern
 from scansmith.functions import text as T
-from scansmith.operators import detectors, secrets_score
-from scansmith.operators.match import candidates, matches
+from scansmith.operators import calls, detectors, secrets_score
+from scansmith.operators.match import candidates, matches, present
 from scansmith.operators.validate import CHECKS
 
 FINDINGS = (
@@ -28,17 +29,23 @@ FINDINGS = (
 class ScanOptions:
     """What a scan does besides the core passes, and which categories it looks for."""
 
-    deobfuscate: bool = True
+    deobfuscate: bool = True  # without it, ast still does
+    ast: bool = False  # endpoints among the arguments of calls
     entropy: bool = False
     frameworks: bool = False
     categories: tuple[str, ...] = C.CATEGORIES
 
 
+CALLS = Pattern(2, 0, "endpoints", None, "", check="endpoint")  # pass 2, which has no expression
+MOST_ENTRIES = 100_000  # of a bundler's definition, in the order of matches
+
+
 def patterns_of(options: ScanOptions) -> list[Pattern]:
     """The patterns of a scan, in the order in which they find."""
     found = [*C.CORE, *C.SWAGGER, *detectors.ENV_RISK, *C.WASM, *C.STORAGE, *C.CORS]
     found += [*C.JWT_SECRETS, *C.ADMIN_CREDENTIALS, *secrets_score.HIGH_ENTROPY] if options.entropy else []
-    found += [*C.FRAMEWORK_ENDPOINTS, *C.ENV_VARS] if options.frameworks else []
+    found += [*C.FRAMEWORK_ENDPOINTS, *C.ENV_VARS, detectors.DEFINE] if options.frameworks else []
+    found += [CALLS] if options.ast else []
     return sorted((p for p in found if p.category in options.categories), key=lambda p: (p.order, p.ordinal))
 
 
@@ -46,15 +53,26 @@ def raw_matches(docs: DataFrame, options: ScanOptions) -> DataFrame:
     """Every match of docs (source, text), before checks: source, category, type, check, shown, prefix, value, line, ..."""
     patterns = patterns_of(options)
     told = lambda what: F.element_at(F.array(*(F.lit(what(p)) for p in patterns)), F.col("place") + 1)
-    text = F.coalesce(F.col("text"), F.lit(""))
-    ready = docs.select("source", (T.deobfuscated(text) if options.deobfuscate else text).alias("text"))
-    hit = ready.withColumn("low", F.lower("text")).select("source", "text", F.explode(candidates(F.col("low"), patterns)).alias("place"))
+    text, place = F.coalesce(F.col("text"), F.lit("")), F.col("place")
+    ready = docs.select("source", (T.deobfuscated(text) if options.deobfuscate or options.ast else text).alias("text"))
+    other = [calls.call_matches(F.col("text")).alias("calls")] if CALLS in patterns else []
+    ready = ready.select("source", "text", F.lower("text").alias("low"), *other)
+    may = [F.size("calls") > 0 if p is CALLS else present(F.col("low"), p) for p in patterns]
+    hit = ready.select("source", "text", *["calls"] * len(other), F.explode(candidates(may)).alias("place"))
     known = hit.withColumns({"regex": told(T.java_of), "group": told(lambda p: p.group)})
+    found = matches(F.col("text"), F.col("regex"), F.col("group"))
+    if CALLS in patterns:
+        found = F.when(place == patterns.index(CALLS), F.col("calls")).otherwise(found)
     line_text = F.split("text", secrets_score.LINE_BREAK) if options.entropy else F.lit(None).cast("array<string>")
-    found = known.select("source", "place", line_text.alias("lines"), F.explode(matches(F.col("text"), F.col("regex"), F.col("group"))).alias("m")).select("source", "place", "m.*", F.try_element_at("lines", F.col("m.line")).alias("line_text"))
+    found = known.select("source", "place", line_text.alias("lines"), F.explode(found).alias("m")).select("source", "place", "m.*", F.try_element_at("lines", F.col("m.line")).alias("line_text"))
+    if detectors.DEFINE in patterns:  # an entry is a finding, on its block's line
+        block = place == patterns.index(detectors.DEFINE)
+        each = F.when(block, detectors.define_entries(F.col("value"))).otherwise(F.array("value"))
+        rest = [c for c in found.columns if c != "value"]
+        found = found.select(*rest, F.posexplode(each).alias("entry", "value")).withColumn("match_ord", F.when(block, F.col("match_ord") * MOST_ENTRIES + F.col("entry")).otherwise(F.col("match_ord"))).drop("entry")
     named = {"pass_ord": lambda p: p.order, "pat_ord": lambda p: p.ordinal, "category": lambda p: p.category, "type": lambda p: p.label or None, "check": lambda p: p.check, "shown": lambda p: p.shown, "prefix": lambda p: p.prefix}
     found = found.withColumns({name: told(what) for name, what in named.items()}).drop("place")
-    return found.withColumn("value", F.when(F.col("pass_ord").isin(5, 15, 16, 18, 21), F.col("value")).otherwise(T.strip(F.col("value"))))
+    return found.withColumn("value", F.when(F.col("pass_ord").isin(5, 15, 16, 17, 18, 21), F.col("value")).otherwise(T.strip(F.col("value"))))
 
 
 def checked(found: DataFrame) -> DataFrame:
@@ -88,18 +106,16 @@ def first_wins(found: DataFrame, keys: tuple[str, ...] = ("source", "category",
 
 def scan(docs: DataFrame, options: ScanOptions = ScanOptions()) -> DataFrame:  # noqa: B008
     """The findings of docs (source, text): columns of FINDINGS. A source is a document; null text is empty."""
-    found = checked(raw_matches(docs, options))
-    if options.frameworks:  # a variable counts once, whatever pattern found it
-        env = F.col("pass_ord") == 16
-        found = found.where(~env).unionByName(first_wins(found.where(env)).select(found.columns))
-    out = displayed(found)
+    out = displayed(checked(raw_matches(docs, options)))
     if options.entropy:
         out = secrets_score.scored(out)
     else:
         out = out.withColumns({"confidence": F.lit(None).cast("string"), "entropy": F.lit(None).cast("double"), "validated": F.lit(None).cast("boolean")})
     out = detectors.extras(out)
-    if options.frameworks and "debug" in options.categories:
-        out = out.unionByName(detectors.webpack_defines(docs, options.deobfuscate).select(out.columns))
     names = [f.split()[0] for f in FINDINGS.split(", ")]
     out = out.withColumn("type", F.when(F.col("pass_ord") == 22, F.lit("CORS Misconfiguration")).otherwise(F.col("type")))
+    if options.frameworks:  # a variable counts once, whatever pattern found it
+        env = F.col("pass_ord") == 16
+        keyed = out.select(*names, env.alias("env"), F.when(env, F.col("raw")).otherwise(F.col("value")).alias("key"))
+        out = first_wins(keyed, ("source", "category", "env", "key"))
     return first_wins(out.select(names)).select(names)

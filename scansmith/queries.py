@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from scansmith import catalog as C
 from scansmith import oracle as O
-from scansmith.corpus import corpus, corpus_sql
+from scansmith.corpus import corpus, corpus_sql, spread
 from scansmith.functions import text as T
 from scansmith.operators import calls, detectors, secrets_score
 from scansmith.operators import findings as R
@@ -47,8 +47,8 @@ def _env_risk_sql() -> str:
     return sql.replace("v AS value", "'Env injection risk: process.env.' || v || ' (no default)' AS value", 1)
 
 
-def _findings_sql(*categories: str) -> str:
-    sql = O.findings_sql(_patterns(*categories))
+def _findings_sql(*categories: str, docs: str | None = None) -> str:
+    sql = O.findings_sql(_patterns(*categories), docs)
     return sql.replace("), findings AS (", f"\nUNION ALL {_env_risk_sql()}), findings AS (", 1) if "debug" in categories else sql
 
 
@@ -67,7 +67,7 @@ _add(
 
 # ---- candidates before the checks, over the tables' own texts --------------------------------------------------------
 def _pages(s: SparkSession, d: str) -> DataFrame:
-    return s.read.parquet(f"{d}/pages.parquet").select(F.col("page_id").cast("string").alias("source"), F.col("html").alias("text"))
+    return spread(s.read.parquet(f"{d}/pages.parquet").select("page_id", "html")).select(F.col("page_id").cast("string").alias("source"), F.col("html").alias("text"))
 
 
 _PAGES_SQL = "SELECT CAST(page_id AS VARCHAR) AS source, html AS text FROM pages"
@@ -76,6 +76,22 @@ _add(
     lambda s, d: displayed(raw_matches(_pages(s, d), ScanOptions(categories=("emails",)))).select("source", "value", "line", "match_ord"),
     O.findings_sql(C.EMAILS, _PAGES_SQL).split(", matches AS")[0] + f" SELECT source, value, line, match_ord FROM ({O.pattern_sql(C.EMAILS[0], check=False)})",
 )
+_DOCUMENTS_SQL = "SELECT CAST(doc_id AS VARCHAR) AS source, text FROM documents"
+
+
+def _documents(s: SparkSession, d: str) -> DataFrame:
+    return spread(s.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")).select(F.col("doc_id").cast("string").alias("source"), "text")
+
+
+_BEFORE = "source value line type pass_ord pat_ord match_ord".split()
+_ALL_ROWS = [*_patterns(*C.CATEGORIES), *C.JWT_SECRETS, *C.ADMIN_CREDENTIALS, *secrets_score.HIGH_ENTROPY]
+for _name, _docs, _sql in (("documents_scan", _documents, _DOCUMENTS_SQL), ("pages_scan", _pages, _PAGES_SQL)):
+    # these texts hold addresses and long strings that no check lets pass, so matches are what can be held against SQL
+    _add(
+        _name,
+        lambda s, d, docs=_docs: displayed(raw_matches(docs(s, d), ScanOptions(entropy=True))).where("pass_ord <> 19").select(_BEFORE),
+        O.findings_sql(C.EMAILS, _sql).split(", matches AS")[0] + f" SELECT {', '.join(_BEFORE)} FROM (" + "\nUNION ALL ".join(O.pattern_sql(p, check=False) for p in _ALL_ROWS) + ")",
+    )
 _IP = "(?:[0-9]{1,3}\\.){3}[0-9]{1,3}"
 _add(
     "ip_candidates",
@@ -144,13 +160,13 @@ _add(
     _EP_SQL + " SELECT source, value, line, CASE WHEN starts_with(value, '//') THEN 'https:' || value WHEN starts_with(value, '/') THEN 'https://api.acme.io' || value END AS resolved_url FROM findings",
 )
 _V = "/v([0-9]+)(?:\\.[0-9]+)?/"
-_add("api_versions", lambda s, d: R.api_versions(_EP(s, d)), _EP_SQL + f" SELECT CAST(v AS INTEGER) AS version, count(*) AS n FROM (SELECT regexp_extract(value, '{_V}', 1) AS v FROM findings) WHERE v <> '' GROUP BY v")
+_add("api_versions", lambda s, d: R.api_versions(_EP(s, d)), _EP_SQL + f" SELECT CAST(v AS BIGINT) AS version, count(*) AS n FROM (SELECT regexp_extract(value, '{_V}', 1) AS v FROM findings) WHERE v <> '' GROUP BY v")
 _add(
     "version_suggestions",
     lambda s, d: R.version_suggestions(_EP(s, d)).select("template", "version", "suggestion"),
     _EP_SQL
     + f", named AS (SELECT regexp_replace(value, '{_V}', '/v{{VERSION}}/', 'g') AS template, CAST(regexp_extract(value, '{_V}', 1) AS INTEGER) AS v FROM findings WHERE regexp_matches(value, '{_V}'))"
-    + " SELECT template, CAST(version AS INTEGER) AS version, replace(template, '{VERSION}', CAST(version AS VARCHAR)) AS suggestion FROM (SELECT DISTINCT template FROM named), unnest(range(1, (SELECT max(v) FROM named) + 3)) AS t(version) ORDER BY template, version LIMIT 50",
+    + " SELECT template, CAST(version AS BIGINT) AS version, replace(template, '{VERSION}', CAST(version AS VARCHAR)) AS suggestion FROM (SELECT DISTINCT template FROM named), unnest(range(1, (SELECT max(v) FROM named) + 3)) AS t(version) ORDER BY template, version LIMIT 50",
 )
 _add(
     "postman_items",
@@ -227,7 +243,7 @@ _W = "new\\s+webpack\\.DefinePlugin\\s*\\(\\s*\\{([^}]+)\\}"
 _ENTRY = "[\"'']?([A-Z_][A-Z_0-9.]*)[\"'']?\\s*:\\s*(?:JSON\\.stringify\\s*\\(\\s*)?[\"'']([^\"'']+)[\"'']"
 _add(
     "webpack_defines",
-    lambda s, d: detectors.webpack_defines(corpus(s, d)).select("source", "value").distinct(),
+    lambda s, d: _found(s, d, "debug", frameworks=True).where("pass_ord = 17").select("source", "value"),
     f"SELECT DISTINCT source, 'DefinePlugin: ' || k[i] || ' = ' || v[i] AS value FROM (SELECT source, regexp_extract_all(b, '{_ENTRY}', 1) AS k, regexp_extract_all(b, '{_ENTRY}', 2) AS v FROM (SELECT source, unnest(regexp_extract_all(text, '{_W}', 1)) AS b FROM ({corpus_sql(dialect='duckdb')}))), unnest(range(1, len(k) + 1)) AS t(i)",
 )
 for _name, _rows, _cat in (("swagger_refs", C.SWAGGER, "endpoints"), ("wasm", C.WASM, "debug"), ("browser_storage", C.STORAGE, "debug"), ("cors", C.CORS, "network")):
@@ -239,6 +255,14 @@ _add(
     lambda s, d: detectors.cdn_summary(corpus(s, d)).select("source", "provider", "count", F.array_join("domains", ",").alias("domains")),
     f"SELECT source, provider, count(*) AS count, string_agg(DISTINCT h, ',' ORDER BY h) AS domains FROM (SELECT source, h, {_PROVIDER} AS provider FROM (SELECT source, lower(unnest(regexp_extract_all(text, 'https?://([a-zA-Z0-9.-]+)', 1))) AS h FROM ({corpus_sql(dialect='duckdb')}))) WHERE provider IS NOT NULL GROUP BY source, provider",
 )
+_HOSTS_SQL = f"SELECT h, {_PROVIDER} AS provider FROM (SELECT lower(unnest(regexp_extract_all(text, 'https?://([a-zA-Z0-9.-]+)', 1))) AS h FROM d)"
+_add(
+    "document_summary",
+    lambda s, d: detectors.document_summary(corpus(s, d)),
+    f"WITH d AS MATERIALIZED ({corpus_sql(dialect='duckdb')}) SELECT 'document' AS kind, CAST(NULL AS VARCHAR) AS name, count(*) AS n, 0 AS domains FROM d UNION ALL "
+    + " UNION ALL ".join(f"SELECT 'framework', {O.quoted(k)}, count(*), 0 FROM d WHERE regexp_matches(text, {O.quoted(v)}) HAVING count(*) > 0" for k, v in _ALL_SIGNS.items())
+    + f" UNION ALL SELECT 'provider', provider, count(*), count(DISTINCT h) FROM ({_HOSTS_SQL}) WHERE provider IS NOT NULL GROUP BY provider",
+)
 
 # ---- obfuscation -----------------------------------------------------------------------------------------------------
 _add(
@@ -300,3 +324,4 @@ _add(
     + f" SELECT path, package, '^' || v AS installed, below AS fixed_in, cve, severity FROM d JOIN t USING (package) WHERE {_VERSIONS('v')} < {_VERSIONS('below')}",
 )
 _add("ast_endpoints", lambda s, d: calls.call_endpoints(corpus(s, d)))
+_add("ast_scan", lambda s, d: _found(s, d, "endpoints", ast=True).select(_COLUMNS))

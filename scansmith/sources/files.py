@@ -57,6 +57,33 @@ def ignored(path: Column, rules: list[str]) -> Column:
     return out
 
 
+def _files(spark: SparkSession, path: str):  # noqa: ANN202
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def there(spark: SparkSession, path: str) -> bool:
+    files, where = _files(spark, path)
+    return files.exists(where)
+
+
+def small_text(spark: SparkSession, path: str) -> str | None:
+    """The text of one small file, null if missing; also of hidden ones, which Spark's readers pass over."""
+    files, where = _files(spark, path)
+    if not files.exists(where):
+        return None
+    stream = files.open(where)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def ignore_rules(spark: SparkSession, root: str) -> list[str]:
+    """The lines of the ignore file of a folder, none if it has none."""
+    return (small_text(spark, f"{root.rstrip('/')}/.gitignore") or "").splitlines()
+
+
 def script_files(spark: SparkSession, root: str, rules: list[str] | None = None) -> DataFrame:
     """(path, length, content) of scripts below root, not in excluded folders, too large, or ignored. Only paths are tested before content is read."""
     found = spark.read.format("binaryFile").option("pathGlobFilter", "*.js").option("recursiveFileLookup", "true").load(root).where(F.col("length") <= MAX_FILE_BYTES)
@@ -105,6 +132,16 @@ def git_metadata(heads: DataFrame) -> DataFrame:
     return heads.select("root", branch.alias("branch"), commit.alias("commit"), F.col("config").isNotNull().alias("exposed_config"), remotes.alias("remotes"))
 
 
+def git_folder(spark: SparkSession, root: str) -> DataFrame:
+    """git_metadata of the repository of a folder; no row if it is none."""
+    git = f"{root.rstrip('/')}/.git"
+    head, ref = small_text(spark, f"{git}/HEAD"), None
+    if head and head.strip().startswith("ref: refs/heads/"):
+        ref = small_text(spark, f"{git}/{head.strip().removeprefix('ref: ')}")
+    rows = [(root, head, ref, small_text(spark, f"{git}/config"))] if there(spark, git) else []
+    return git_metadata(spark.createDataFrame(rows, "root string, head string, ref_text string, config string"))
+
+
 def introspected(responses: DataFrame) -> DataFrame:
     """(source, type_name, kind) of the schema in responses (source, text) to an introspection query; nothing is fetched."""
     schema = "data struct<__schema:struct<types:array<struct<name:string,kind:string>>>>"

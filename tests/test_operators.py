@@ -9,11 +9,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from scansmith import export
+from scansmith.functions import sql as Q
 from scansmith.functions import text as T
 from scansmith.operators import findings as R
 from scansmith.operators.calls import call_strings
-from scansmith.operators.detectors import cdn_summary, frameworks
-from scansmith.plans.scan import scan
+from scansmith.operators.detectors import cdn_summary, document_summary, frameworks
+from scansmith.operators.secrets_score import high_entropy, valid_aws_secret
+from scansmith.plans.folder import scan_folder
+from scansmith.plans.scan import ScanOptions, scan
 from scansmith.sources import files as S
 from scansmith.streaming.incremental import scan_stream
 
@@ -49,6 +52,22 @@ def test_versions_and_suggestions(spark):
     assert R.version_suggestions(df.where("value = '/none'")).count() == 0
 
 
+def test_long_numbers_stop_nothing(spark):
+    df = findings(spark, [("endpoints", f"/v{'9' * n}/x", "a.js", 1) for n in (1, 8, 11, 18, 19, 60)] + [("endpoints", "/v2/y", "a.js", 1)])
+    assert sorted(r["version"] for r in R.api_versions(df).collect()) == [2, 9, 99999999, 99999999999, 10**18 - 1]
+    out = R.version_suggestions(df).collect()
+    assert [(r["template"], r["version"]) for r in out] == [("/v{VERSION}/x", k) for k in range(1, 51)] and out[2]["suggestion"] == "/v3/x"
+    deps = spark.createDataFrame([("lodash", "4." + "9" * 30 + ".1"), ("lodash", "4.1." + "9" * 60), ("axios", "0.0.1")], "package string, installed string")
+    assert sorted(r["installed"][:5] for r in R.vulnerable(deps, R.vulnerability_table(spark)).collect()) == ["0.0.1", "4.1.9"]
+
+
+@pytest.mark.parametrize("path", ["/a/b/c/../../d", "/a/./b", "/../x", "/a/..", "/a/.", "/a//b/../c", "/x?y=/../z", "/a/b/../../../c?q#/./", "/a...b/..c", "/plain"])
+def test_dot_segments(spark, path):
+    from urllib.parse import urljoin
+
+    assert R.resolved(findings(spark, [("endpoints", path, "a.js", 1)]), "https://h.io").first()["resolved_url"] == urljoin("https://h.io", path)
+
+
 def test_resolved(spark):
     df = findings(spark, [("endpoints", v, "a.js", 1) for v in ("/x", "//h.io/y", "rel")])
     assert {r["value"]: r["resolved_url"] for r in R.resolved(df, "api.acme.io").collect()} == {"/x": "https://api.acme.io/x", "//h.io/y": "https://h.io/y", "rel": None}
@@ -78,16 +97,48 @@ def test_entropy(spark):
         assert abs(one(spark, T.shannon_entropy(F.lit(s))) - want) < 1e-12
 
 
-def test_plain_and_native_sums(spark):
-    assert T.plain("'a' + \"b\" + 'c'") == '"abc"' and T.plain("\\ud83d\\ude00") == "😀" and T.plain("\\ud83d") == "�"
-    text = " + ".join(f"'{i}'" for i in range(200))
-    assert one(spark, T.collapsed_sums(F.lit(text))) == T.plain(text)
+OBFUSCATED = ["\\x2f", "\\x41", "\\xe9", "\\x5cx41", "\\x5cu0041", "\\u00e9", "\\ud83d", "\\ude00", "\\ud83d\\ude00", "a", " ", "'", '"', "+", " + ", "'a' + 'b'", "'a'+\"b\" + 'c'", 'atob("L2FkbWlu")', 'atob("QQ==")', 'atob("QQ=")', 'atob("QQQ=")', 'atob("Q")', 'atob("=")', 'atob("QQ==QUJD")', 'atob("/w==")', "btoa('xyz')", 'btoa("é🙂")', "String.fromCharCode(47,97)", "String.fromCharCode( 128578 , 233)", "String.fromCharCode(55357,56832)", "String.fromCharCode(55357)", "String.fromCharCode(1114112)", "String.fromCharCode(1,,2)", f"String.fromCharCode({'9' * 50})", "é", "🙂", "\n", "\\", "x", "$1", "\u00a0"]
+
+
+def test_expressions_undo_what_the_plain_function_undoes(spark):
+    assert Q.plain("'a' + \"b\" + 'c'") == '"abc"' and Q.plain("\\ud83d\\ude00") == "😀" and Q.plain("\\ud83d") == "\ufffd"
+    rng = random.Random(1)
+    rows = [(i, "".join(rng.choices(OBFUSCATED, k=rng.randint(1, 9)))) for i in range(2500)] + [(2500, " + ".join(f"'{i}'" for i in range(3000))), (2501, None)]
+    out = spark.createDataFrame(rows, "i int, t string").select("i", T.deobfuscated(F.col("t")).alias("t"))
+    assert {r["i"]: r["t"] for r in out.collect()} == {i: t if t is None else Q.plain(t) for i, t in rows}
+
+
+def test_functions_for_sql(spark):
+    Q.register(spark)
+    assert spark.sql("SELECT deobfuscate('\\\\x2fa') AS t").first()["t"] == "/a"
+    assert [round(r["e"], 9) for r in spark.sql("SELECT shannon_entropy(v) AS e FROM VALUES (''), ('aaaa'), ('abab'), ('a.b*')  AS t(v)").collect()] == [0, 0, 1, 2]
+    assert spark.sql("""SELECT value, line FROM js_calls('fetch("/api/x")')""").collect() == [("/api/x", 1)]
+
+
+def test_high_entropy_and_keys(spark):
+    even, short = "GHIJKLMNOPQRSTUVWXYZghijklmnopq1", "GHIJKLMNOPQRST"
+    assert one(spark, high_entropy(F.lit(even))) and not one(spark, high_entropy(F.lit(short))) and not one(spark, high_entropy(F.lit("ab" * 20)))
+    assert one(spark, valid_aws_secret(F.lit("a/+=" * 10))) and not one(spark, valid_aws_secret(F.lit("a" * 39)))
+
+
+@pytest.mark.parametrize("url, good", [("https://a.io/x", True), ("http://h", True), ("ftp://a.io", False), ("https://", False), ("a.io/x", False), ("", False), (None, False), ("https://[bad", False)])
+def test_valid_urls(spark, url, good):
+    assert one(spark, S.valid_url(F.lit(url).cast("string"))) is good
+
+
+def test_introspection_answers(spark):
+    texts = [("a", '{"data": {"__schema": {"types": [{"name": "Query", "kind": "OBJECT"}, {"name": "Id", "kind": "SCALAR"}]}}}'), ("b", '{"errors": []}'), ("c", "no json"), ("d", None)]
+    out = S.introspected(spark.createDataFrame(texts, "source string, text string"))
+    assert sorted(map(tuple, out.collect())) == [("a", "Id", "SCALAR"), ("a", "Query", "OBJECT")]
 
 
 def test_providers_and_frameworks(spark):
     docs = spark.createDataFrame([("a", 'https://cdnjs.cloudflare.com/a import React from "react"')], "source string, text string")
     assert [(r["provider"], r["count"]) for r in cdn_summary(docs).collect()] == [("Cloudflare", 1)]
     assert docs.select(frameworks(F.col("text")).alias("f")).first()["f"] == ["react"]
+    told = document_summary(docs.unionByName(spark.createDataFrame([("b", None), ("c", "https://d1.cloudfront.net https://D1.cloudfront.net")], docs.schema)))
+    assert {tuple(r) for r in told.collect()} >= {("document", None, 3, 0), ("framework", "react", 1, 0), ("provider", "Cloudflare", 1, 1)}
+    assert [(r["n"], r["domains"]) for r in told.where("kind = 'provider' AND name LIKE '%Front%'").collect()] == [(2, 1)]
 
 
 def test_call_strings():
@@ -119,18 +170,80 @@ def test_git_metadata(spark):
     assert out["d"]["branch"] == "detached" and not out["d"]["exposed_config"]
 
 
+def test_folder_scan_remembers(spark, tmp_path):
+    root, out, cache = (tmp_path / x for x in ("root", "out", "cache"))
+    for name, data in {"a.js": 'x="/admin"', "b.js": 'x="/login"', "skip/c.js": 'x="/token"', ".gitignore": "# note\nskip/\n"}.items():
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(data)
+    run = lambda **more: sorted(r["value"] for r in scan_folder(spark, str(root), str(out), ScanOptions(categories=("endpoints",)), cache=str(cache), **more).collect())
+    assert run() == ["/admin", "/login"] and run() == []
+    (root / "b.js").write_text('x="/logout"')
+    assert run() == ["/logout"] and run(ignore=False) == ["/token"] and run() == []
+    assert sorted(p.name for p in out.iterdir() if p.name.startswith("run")) == [f"run={k}" for k in range(4)]  # a run without files leaves its number to the next
+
+
+def test_git_folder(spark, tmp_path):
+    assert S.git_folder(spark, str(tmp_path)).count() == 0
+    for name, data in {"HEAD": "ref: refs/heads/dev/x\n", "refs/heads/dev/x": "0123456789abcdef\n", "config": "[remote]\n url = git@h:x.git\n"}.items():
+        (tmp_path / ".git" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / ".git" / name).write_text(data)
+    assert S.git_folder(spark, str(tmp_path)).first() == (str(tmp_path), "dev/x", "0123456789ab", True, ["git@h:x.git"])
+
+
+SCANNED = 'fetch("/api/v1/users"); k="AKIA' + 'ABCDEFGHIJKLMNOP"; u="https://svc.acme.io/pa/th"; import React from "react"; c="https://d1.cloudfront.net/x.js"'
+
+
 def test_exports(spark, tmp_path):
-    df = scan(spark.createDataFrame([("a.js", 'fetch("/api/v1/users"); k="AKIA' + 'ABCDEFGHIJKLMNOP"; u="https://svc.acme.io/pa/th"')], "source string, text string"))
-    out = export.export_report(df, str(tmp_path / "r"), "t", ("json", "html", "sarif", "postman", "md"), redact=True, zipped=True)
+    docs = spark.createDataFrame([("a.js", SCANNED)], "source string, text string")
+    df = scan(docs)
+    out = export.export_report(df, str(tmp_path / "r"), "t", ("json", "html", "sarif", "postman", "md"), redact=True, zipped=True, docs=docs)
     sarif = json.loads((tmp_path / "r/findings.sarif").read_text())
     assert sarif["version"] == "2.1.0" and len(sarif["runs"][0]["results"]) == df.count()
-    assert "AKIA" + "ABCDEFGHIJKLMNOP" not in (tmp_path / "r/findings.html").read_text()
-    assert {i["name"] for i in json.loads((tmp_path / "r/findings.postman").read_text())["item"]} == {"/api/v1/users", "https://svc.acme.io/pa/th"}
+    rules = sarif["runs"][0]["tool"]["driver"]["rules"]
+    assert all(rules[r["ruleIndex"]]["id"] == r["ruleId"] and rules[r["ruleIndex"]]["defaultConfiguration"]["level"] == r["level"] for r in sarif["runs"][0]["results"])
+    page = (tmp_path / "r/findings.html").read_text()
+    assert "AKIA" + "ABCDEFGHIJKLMNOP" not in page and page.count("<tr class=finding") == df.count() and page.count("<section") == len({r["category"] for r in df.collect()}) and "id=search" in page and "react" in page
+    assert {i["name"] for i in json.loads((tmp_path / "r/findings.postman").read_text())["item"]} >= {"/api/v1/users", "https://svc.acme.io/pa/th"}
+    told = json.loads((tmp_path / "r/findings.json").read_text())
+    assert told["meta"]["target"] == "t" and told["meta"]["file_count"] == 1 and told["meta"]["frameworks"] == ["react"] and sum(x["count"] for x in told["meta"]["cdn_summary"].values()) == 1
+    assert {c: len(x) for c, x in told["findings"].items()} == {r["category"]: r["count"] for r in df.groupBy("category").count().collect()}
     assert "## [CRITICAL]" in (tmp_path / "r/findings.md").read_text() and set(out) == {"json", "html", "sarif", "postman", "md", "zip"}
     with pytest.raises(ValueError, match="encrypted"):
         export.export_report(df, str(tmp_path / "r"), "t", password="x")
 
 
+def test_reports_of_no_findings(spark, tmp_path):
+    out = export.export_report(findings(spark, []).withColumn("type", F.lit(None).cast("string")), str(tmp_path), "t", ("json", "html", "sarif", "postman", "md"))
+    assert json.loads(open(out["json"]).read())["findings"] == {} and json.loads(open(out["sarif"]).read())["runs"][0]["results"] == [] and json.loads(open(out["postman"]).read())["item"] == []
+    assert "No findings" in open(out["html"]).read()
+
+
+def test_reports_hold_all_results(spark, tmp_path):
+    n = 25_000
+    df = spark.range(n).selectExpr("CASE id % 3 WHEN 0 THEN 'secrets' WHEN 1 THEN 'urls' ELSE 'endpoints' END AS category", "concat('http://h/', id) AS value", "concat('f', id % 50) AS source", "CAST(id AS INT) AS line", "1 AS pass_ord", "0 AS pat_ord", "CAST(id AS INT) AS match_ord")
+    sarif = json.loads("".join(export.sarif(df)))["runs"][0]
+    assert len(sarif["results"]) == n and len({r["message"]["text"] for r in sarif["results"]}) == n and len(sarif["tool"]["driver"]["rules"]) == 3
+    assert len(json.loads("".join(export.postman(df)))["item"]) == sum(k % 3 > 0 for k in range(n))
+    export.write_objects(export.sarif_objects(df), str(tmp_path / "parts"))
+    assert spark.read.text(str(tmp_path / "parts")).count() == n
+
+
+def test_messages_gate_and_listing(spark):
+    rows = [("secrets", f"L: {'k' * 20}{i}", "a.js", i) for i in range(7)] + [("urls", "https://a.io/some/path", "b.js", 1)]
+    df, clean = findings(spark, rows), findings(spark, rows[-1:])
+    slack = export.notification(df, "t")["attachments"][0]
+    assert slack["color"] == "#ff0000" and slack["text"].count("\n- L: kkkk...") == 5 and "Total findings: 8" in slack["text"] and "k" * 20 not in slack["text"]
+    assert export.notification(clean, "t")["attachments"][0]["color"] == "#36a64f"
+    teams = export.notification(df, "t", "teams")
+    assert teams["themeColor"] == "FF0000" and {f["name"]: f["value"] for f in teams["sections"][0]["facts"]} == {"Target": "t", "Total findings": "8", "Secrets found": "7"}
+    assert set(export.notifications(df, "t", {"slack": "https://s", "teams": ""})) == {"https://s"}
+    with pytest.raises(ValueError, match="unknown"):
+        export.notifications(df, "t", {"fax": "x"})
+    assert R.has_secrets(df) and not R.has_secrets(clean)
+    assert list(export.console(df)) == ["urls: 1", "secrets: 7", "total: 8"]
+    assert list(export.console(clean, verbose=True)) == ["urls: 1", "  [b.js:1] https://a.io/some/path", "total: 1"]
+
+
 def test_stream_scans_each_file_once(spark, tmp_path):
     src, out, state = (str(tmp_path / x) for x in ("src", "out", "state"))
     (tmp_path / "src").mkdir()

@@ -77,6 +77,22 @@ def test_frameworks(spark):
     assert [r["has_default"] for r in env] == [True] and not [r for r in rows if r["value"].startswith("Environment variable: NEXT")]
 
 
+def test_calls_are_the_second_pass(spark):
+    text = 'load("/rest/x/y"); api.get(`/internal/${id}/z`);\nfetch("/admin/q")'
+    docs = spark.createDataFrame([("a", text), ("b", None), ("c", "no calls")], "source string, text string")
+    found = {r["value"]: r["pass_ord"] for r in scan(docs, ScanOptions(ast=True, categories=("endpoints",))).collect()}
+    assert found == {"/rest/x/y": 1, "/admin/q": 1, "/internal/": 2}
+    assert set(found) - {r["value"] for r in scan(docs, ScanOptions(categories=("endpoints",))).collect()} == {"/internal/"}
+
+
+@pytest.mark.parametrize("options", [{}, {"entropy": True}, {"frameworks": True}, {"ast": True}, {"entropy": True, "frameworks": True, "ast": True}], ids=repr)
+def test_text_is_read_once(spark, tmp_path_factory, options):
+    path = str(tmp_path_factory.mktemp("docs") / "docs")
+    spark.createDataFrame([("a", "x")], "source string, text string").write.parquet(path)
+    plan = scan(spark.read.parquet(path), ScanOptions(**options))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("ArrowEvalPython") == (1 if options.get("ast") else 0)
+
+
 def test_order_of_documents_does_not_matter(spark):
     rows = [(n, t) for n, t, _, _ in CASES]
     one = scan(spark.createDataFrame(rows, "source string, text string"))
