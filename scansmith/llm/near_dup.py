@@ -1,11 +1,11 @@
 """Operator 3: near duplicates by improved consistent weighted sampling over TF-IDF shingles.
 
 A document is the multiset of its five-word shingles (a document of fewer words is one shingle). A shingle weighs its count
-times 1 + log((1 + N) / (1 + df)) with df of N documents that hold it. Frequencies are counted over all documents in a sketch
+times 1 + log((1 + N) / (1 + df)) with df of N documents that hold it, as a share of the greatest such weight. Frequencies are counted over all documents in a sketch
 of fixed size, which alone is broadcast; what other shingles add to a cell on average is taken off, and frequencies below
 twice the sketch's own noise count as that. LANES consistent weighted samples (the sampled shingle and its level) make BANDS
-bands. Copies of a large group lower the weights of what they share and not of what each changed, so a document with shingles
-well below the greatest weight also has the bands of its plain counts, and a pair may be alike by weights or by counts.
+bands. Copies of a large group lower the weights of what they share and not of what each changed, so a document of which a
+part is well below the greatest weight also has the bands of its plain counts, and a pair may be alike by weights or by counts.
 
 Documents with the same words are one node; nodes that share a band are a bucket. A bucket's nodes meet in chunks of bounded
 size, whose exact weighted Jaccard similarities are computed against inverted lists; what leaves a chunk is a spanning forest
@@ -14,7 +14,8 @@ outside the bucket's largest component meets all chunks of the bucket, so no lin
 come from alternating large- and small-star steps, each written to the shared folder.
 
 Similarity is that of the nodes' shingle numbers (32 bits) and weights, or counts if that is more; SIMILARITY or more links.
-Links are found if the pair shares a band: 0.998 of pairs at 0.8, more above.
+Links are found if the pair shares a band: 0.998 of pairs at 0.8, more above; 0.99 of pairs that are at 0.8 by counts where
+neither has bands of counts, as then at most a tenth is of low weight.
 
 Defined results: documents without words are copies only of documents with equal text; null text is empty; a very long text is
 hashed in slices, whole, and is a set like any other (the set must fit a task); a row repeated as a whole is a copy of itself; a
@@ -40,7 +41,7 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 12, 4
 LANES = BANDS * ROWS
 SKETCH, SKETCH_ROWS = 1 << 18, 2
-LOWERED = 0.85  # of the greatest weight of a single shingle: below it plain counts make bands too
+LOWERED, LOWERED_SHARE = 0.85, 0.1  # a document of which this share is shingles of lower weight has bands of its plain counts too
 CHUNK_NODES, CHUNK_SHINGLES = 2048, 3_000_000
 
 _TABLE = 1 << 16
@@ -115,10 +116,11 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def idf_table(sketch: np.ndarray, docs: int) -> np.ndarray:
-    """The weight that each cell of the sketch gives a shingle; a shingle has the greatest of its cells' weights."""
+    """The weight that each cell of the sketch gives a shingle, 1 at most; a shingle has the greatest of its cells' weights."""
     usual = sketch.sum(axis=1, keepdims=True) / sketch.shape[1]
     own = np.maximum(sketch - usual, np.maximum(1, 2 * np.sqrt(usual)))
-    return (1 + np.log((1 + docs) / (1 + np.minimum(own, docs)))).astype(np.float32)
+    out = 1 + np.log((1 + docs) / (1 + np.minimum(own, docs)))
+    return (out / out.max()).astype(np.float32)
 
 
 def _idf(table: np.ndarray, short: np.ndarray) -> np.ndarray:
@@ -131,20 +133,19 @@ def _idf(table: np.ndarray, short: np.ndarray) -> np.ndarray:
 def samples(h: np.ndarray, weights: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """LANES consistent weighted samples of each run of shingles that begins at starts; 32 bits for shingle and level."""
     out = np.empty((len(starts), LANES), np.uint64)
-    log_w = np.log(weights).astype(np.float32)
-    plain = not log_w.any()
+    other = np.flatnonzero(weights != 1)  # most shingles are rare and occur once
+    log_w = np.log(weights[other]).astype(np.float32)
     for k in range(LANES):
         x = (h ^ _SEEDS[k]) * _FACTORS[k]
         x ^= x >> np.uint64(31)
         i, j, b = x >> np.uint64(48), (x >> np.uint64(32)) & np.uint64(0xFFFF), (x >> np.uint64(16)) & np.uint64(0xFFFF)
         r, beta = _R[i], _BETA[b]
         low = (x * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
-        if plain:
-            log_a = _LOG_C[j] - r * (1 - beta)  # weight 1 has level 0
-        else:
-            level = np.floor(log_w / r + beta)
-            log_a = _LOG_C[j] - r * (level - beta + 1)
-            low ^= (level.astype(np.int64).view(np.uint64) * np.uint64(0x632BE5AB)) & np.uint64(0xFFFFFFFF)
+        log_a = _LOG_C[j] - r * (1 - beta)  # weight 1 has level 0
+        if len(other):
+            level = np.floor(log_w / r[other] + beta[other])
+            log_a[other] = _LOG_C[j[other]] - r[other] * (level - beta[other] + 1)
+            low[other] ^= (level.astype(np.int64).view(np.uint64) * np.uint64(0x632BE5AB)) & np.uint64(0xFFFFFFFF)
         bits = log_a.view(np.uint32)
         key = np.where(bits >> 31 == 1, ~bits, bits | np.uint32(0x80000000)).astype(np.uint64)
         out[:, k] = np.minimum.reduceat((key << np.uint64(32)) | low, starts) & np.uint64(0xFFFFFFFF)
@@ -161,7 +162,7 @@ def bands_of(lanes: np.ndarray) -> np.ndarray:
 
 def signatures(docs: DataFrame, table: np.ndarray) -> DataFrame:
     """(doc_id, h, node, size, bands) of every row of docs (doc_id, h, text); node: 16 bytes that equal words share."""
-    shared, lowered = docs.sparkSession.sparkContext.broadcast(table), LOWERED * float(table.max())
+    shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -176,7 +177,7 @@ def signatures(docs: DataFrame, table: np.ndarray) -> DataFrame:
                     sizes[rows] = np.diff(np.append(starts, len(d)))
                     bands[rows, :BANDS] = bands_of(samples(h, idf * counts, starts))
                     held[rows, :BANDS] = True
-                    if (low := np.minimum.reduceat(idf, starts) < lowered).any():
+                    if (low := np.add.reduceat(counts * (idf < LOWERED), starts) >= LOWERED_SHARE * np.add.reduceat(counts, starts)).any():
                         own = np.repeat(low, sizes[rows])
                         bands[rows[low], BANDS:] = bands_of(samples(h[own], counts[own], np.append(0, np.cumsum(sizes[rows[low]])[:-1])))
                         held[rows[low], BANDS:] = bands[rows[low], BANDS:] != bands[rows[low], :BANDS]

@@ -96,7 +96,8 @@ def frequencies(own):
     """The weight of each shingle over all documents, as the module's head states it."""
     df = Counter(k for bag in own.values() if bag for k in bag)
     usual = sum(df.values()) / near_dup.SKETCH
-    return {k: 1 + math.log((1 + len(own)) / (1 + min(len(own), max(n - usual, 1, 2 * usual**0.5)))) for k, n in df.items()}
+    weigh = lambda n: 1 + math.log((1 + len(own)) / (1 + min(len(own), max(n - usual, 1, 2 * usual**0.5))))
+    return {k: weigh(n) / weigh(0) for k, n in df.items()}
 
 
 def brute_links(docs):
