@@ -68,7 +68,7 @@ def counted(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 def _damped(counts: np.ndarray) -> np.ndarray:
     """What subwords weigh that occur so often in a text: the logarithm of their frequency, so that no single word makes up a text."""
-    return np.log1p(counts * (RATE / max(int(counts.sum()), LEAST)))
+    return np.log1p(counts * (RATE / max(int(counts.sum()), LEAST))).astype(np.float32)
 
 
 def evidence(labels: np.ndarray, rows: list[np.ndarray], values: list[np.ndarray]) -> np.ndarray:
@@ -84,6 +84,13 @@ def evidence(labels: np.ndarray, rows: list[np.ndarray], values: list[np.ndarray
     return np.where(seen >= SEEN, out, 0)
 
 
+def _told(place: np.ndarray, row: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of a text's subwords that have one, and their values."""
+    own = place[row]
+    kept = own >= 0
+    return own[kept], value[kept]
+
+
 def _fitted(labels: np.ndarray, rows: list[np.ndarray], values: list[np.ndarray], seed: int) -> tuple[np.ndarray, float]:
     """The value of each subword, NaN without an opinion, and the margin of an average clean text.
 
@@ -94,8 +101,7 @@ def _fitted(labels: np.ndarray, rows: list[np.ndarray], values: list[np.ndarray]
     known = np.flatnonzero(evidence(labels, rows, values) >= EVIDENCE)
     place = np.full(BUCKETS, -1, np.int64)
     place[known] = np.arange(len(known))
-    rows, values = [place[r] for r in rows], [v[place[r] >= 0] for r, v in zip(rows, values, strict=True)]
-    rows = [r[r >= 0] for r in rows]
+    rows, values = zip(*(_told(place, r, v) for r, v in zip(rows, values, strict=True)), strict=True)
     share = [(v / (v.sum() + PRIOR)).astype(np.float32) for v in values]
     n = max(1, len(known))
     embeddings = (rng.random((n, DIMENSIONS), np.float32) - np.float32(0.5)) / DIMENSIONS
