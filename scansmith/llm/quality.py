@@ -64,8 +64,8 @@ def fit(labels: np.ndarray, rows: list[np.ndarray], _: list[np.ndarray], totals:
         late[:] = False
     train = np.flatnonzero(~late)
     counts = [np.bincount(np.concatenate([rows[i] for i in train if labels[i] == y]), minlength=BUCKETS) + SMOOTHING for y in (1, 0)]
-    totals = [(labels[train] == y).sum() + SMOOTHING for y in (1, 0)]
-    ratio = np.log(counts[0] / totals[0]) - np.log(counts[1] / totals[1])
+    each = [(labels[train] == y).sum() + SMOOTHING for y in (1, 0)]
+    ratio = np.log(counts[0] / each[0]) - np.log(counts[1] / each[1])
     ratio[(counts[0] + counts[1]) <= 2 * SMOOTHING + 1] = 0  # seen in one training row or none
     scale = [1 / max(1e-9, np.linalg.norm(ratio[r])) for r in rows]
     weights, intercept, alpha = np.zeros(BUCKETS), 0.0, np.zeros(len(rows))

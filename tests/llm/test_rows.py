@@ -179,6 +179,20 @@ def test_scores_keep_to_the_shares_of_classes():
     assert labelled_rows.sigmoid(a * 0.5 + b) == pytest.approx(0.5, abs=0.05) and labelled_rows.sigmoid(c * 0.5 + e) == pytest.approx(0.1, abs=0.03)
 
 
+@pytest.mark.parametrize("fit, scorer", [(quality.fit, quality.scorer), (toxicity.fit, toxicity.scorer)])
+def test_models_keep_to_the_shares_of_classes(fit, scorer):
+    """Of texts that tell little, as many score for class 1 as it has labels, whatever its share of the training rows is."""
+    rng = random.Random(4)
+    texts = [" ".join(rng.choices(["alpha", "beta", "gamma"] + ["delta"] * (1 + i % 2), k=12)) for i in range(600)]
+    labels = np.arange(600) % 2
+    extract = (lambda t: (quality.ngrams(t), None)) if fit is quality.fit else toxicity.counted
+    rows, counts = zip(*map(extract, texts), strict=True)
+    for zeros, ones in ((9000, 1000), (1000, 9000)):
+        score = scorer(fit(labels, list(rows), list(counts), (zeros, ones)))(texts)
+        share = (score[labels == 0].mean() * zeros + score[labels == 1].mean() * ones) / 10_000
+        assert share == pytest.approx(ones / 10_000, abs=0.05)
+
+
 def test_training_features_are_bounded(spark):
     rows = [(i, i % 2, np.arange(i % 7, dtype=np.uint32).tobytes(), np.ones(i % 7, np.uint32).tobytes()) for i in range(200)]
     df = spark.createDataFrame(rows, "doc_id long, label int, indices binary, counts binary")
