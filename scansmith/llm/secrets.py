@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scansmith.llm.common import map_texts, unused
+from scansmith.llm.common import map_texts
 
 BASE = ("assign", "access", "hex")
 KINDS = (*BASE, "github", "npm", "jwt", "pem")
@@ -139,20 +139,26 @@ def scan(docs: DataFrame, into: str = "spans") -> DataFrame:
     return map_texts(docs, work, f"{own}, `{into}` array<struct<kind:string,start:bigint,end:bigint,value:bigint>>")
 
 
+def hidden(text: str, mark: str) -> str:
+    """text with a mark in place of each secret; secrets that overlap share one."""
+    out, to = [], 0
+    for start, end in sorted((s[3], s[2]) for s in find(text)):
+        if start >= to:
+            out += [text[to:start], mark]
+        to = max(to, end)
+    return "".join(out) + text[to:]
+
+
 def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     """docs with a mark in place of each secret of text; what names it, and all other text and columns, stay."""
-    own = unused(docs, "_spans")
-    spans = F.sort_array(F.transform(own, lambda s: F.struct(s["value"].alias("start"), s["end"].alias("end"))))
-    merged = F.aggregate(
-        spans,
-        F.struct(F.lit("").alias("text"), F.lit(0).cast("long").alias("to")),
-        lambda a, s: F.struct(
-            F.when(s["start"] >= a["to"], F.concat(a["text"], F.col("text").substr((a["to"] + 1).cast("int"), (s["start"] - a["to"]).cast("int")), F.lit(mark))).otherwise(a["text"]).alias("text"),
-            F.greatest(a["to"], s["end"]).alias("to"),
-        ),
-        lambda a: F.concat(a["text"], F.col("text").substr((a["to"] + 1).cast("int"), F.length("text"))),
-    )
-    return scan(docs, own).withColumn("text", F.when(F.size(own) > 0, merged).otherwise(F.col("text"))).drop(own)
+    names = docs.columns
+    at = names.index("text")
+
+    def work(b: pa.RecordBatch) -> pa.RecordBatch:
+        texts = [t and hidden(t, mark) for t in b.column(at).to_pylist()]
+        return pa.record_batch([pa.array(texts, pa.string()) if k == at else c for k, c in enumerate(b.columns)], names)
+
+    return map_texts(docs, work, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))
 
 
 def digest(spans: F.Column) -> F.Column:
