@@ -32,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scansmith.llm.common import discard, grams, hashed_words, mix, small_batches, unused, written
@@ -335,6 +335,15 @@ def _identified(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
 
 
+_ROW = ["_h", "_d", "_gone"]
+
+
+def _keyed(rows: DataFrame, h: Column, names: list[str] = _ROW) -> DataFrame:  # noqa: B006
+    """rows with keys of their doc_id and text, null doc_ids included: plain ones, so that one shuffle serves a grouping and a join by them."""
+    number = F.col("doc_id").cast("long")
+    return rows.withColumns(dict(zip(names, (h, F.coalesce(number, F.lit(0)), number.isNull()), strict=True)))
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """(doc_id, h, class_id, first) of every row of docs (doc_id, text): its class, and whether it is the class's first.
 
@@ -350,11 +359,11 @@ def classes(docs: DataFrame) -> DataFrame:
     chunks = F.ceil(F.greatest(F.col("n") / CHUNK_NODES, F.col("load") / CHUNK_SHINGLES)).cast("int")
     buckets = load.groupBy("n", "s", "x").agg(F.min("bucket").alias("bucket"), F.max("load").alias("load")).select("bucket", chunks.alias("chunks"))
     wanted = member.join(buckets, "bucket").groupBy("node").agg(F.collect_list(F.struct("bucket", "chunks")).alias("buckets"))
-    wanted = wanted.join(nodes.select("node", "own.*"), "node")
+    wanted = _keyed(wanted.join(nodes.select("node", "own.*"), "node"), F.col("h")).select(*_ROW, "node", "buckets")
 
     shared = docs.sparkSession.sparkContext.broadcast(table)
-    once = known.groupBy("doc_id", "h").agg(F.first("text").alias("text"))
-    texts = once.join(wanted, once["doc_id"].eqNullSafe(wanted["doc_id"]) & (once["h"] == wanted["h"])).select("node", "buckets", "text")
+    once = _keyed(known, F.col("h")).groupBy(*_ROW).agg(F.first("text").alias("text"))
+    texts = once.join(wanted, _ROW).select("node", "buckets", "text")
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -388,11 +397,11 @@ def classes(docs: DataFrame) -> DataFrame:
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """docs with one row of each class: its first; of rows that agree in doc_id and text any one."""
-    kept = classes(docs).where("first").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).distinct()
-    h = unused(docs, "_h0")
-    own = docs.withColumn(h, F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    joined = own.join(kept, own["doc_id"].cast("long").eqNullSafe(kept["_id"]) & (own[h] == kept["_h"]), "left_semi")
-    return joined.dropDuplicates(["doc_id", h]).drop(h)
+    kept = _keyed(classes(docs).where("first"), F.col("h")).select(*_ROW).distinct()
+    names = [unused(docs, k) for k in _ROW]
+    own = _keyed(docs, F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))), names)
+    # repeats go within each task first, so that a row which is repeated often is not brought to one
+    return own.dropDuplicates(names).join(kept.toDF(*names), names, "left_semi").drop(*names)
 
 
 def op3_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
