@@ -154,6 +154,14 @@ def texts_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
+def blobs(column: pa.ListArray, change: Callable[[np.ndarray], np.ndarray] = np.asarray) -> tuple[pa.Array, pa.Array]:
+    """The length of each list of numbers and its changed numbers as little-endian doubles; no nulls."""
+    ends = np.asarray(column.offsets).astype(np.int64)
+    values = np.asarray(column.values)[ends[0] : ends[-1]].astype("<f8")
+    places = pa.array(((ends - ends[0]) * 8).astype(np.int32)).buffers()[1]
+    return pa.array(np.diff(ends).astype(np.int32)), pa.Array.from_buffers(pa.binary(), len(column), [None, places, pa.py_buffer(np.ascontiguousarray(change(values), "<f8"))])
+
+
 def hashed_words(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row behind the last, word hashes, word bounds of each row) for runs of rows of about SLICE bytes.
 

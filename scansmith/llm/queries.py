@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scansmith.llm import decontaminate, near_dup, neighbours, packing, quality, secrets, sharding, tokens, toxicity, url_filter
+from scansmith.llm import decontaminate, lexical, near_dup, neighbours, packing, quality, repair, secrets, sharding, tokens, topk, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_neighbours": neighbours.op1_neighbours,
@@ -19,10 +19,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_url_filter": url_filter.op9_url_filter,
     "op10_sampled_sharding": sharding.op10_sampled_sharding,
+    "op11_lexical_search": lexical.op11_lexical_search,
+    "op12_inner_products": topk.op12_inner_products,
+    "op13_conversation_repair": repair.op13_conversation_repair,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_neighbours": neighbours.OP1_SQL,
     "op8_decontaminate": decontaminate.OP8_SQL,
     "op9_url_filter": url_filter.OP9_SQL,
+    "op11_lexical_search": lexical.OP11_SQL,
+    "op12_inner_products": topk.OP12_SQL,
+    "op13_conversation_repair": repair.OP13_SQL,
 }
