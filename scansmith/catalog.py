@@ -27,6 +27,7 @@ class Pattern:
     check: str = "nonempty"
     shown: str = "plain"  # plain, labelled, masked, short
     prefix: str | None = None  # of a labelled value, if not the label
+    closing: str | None = None  # an expression of how each match ends, if it has an open run before
 
 
 def _numbered(order: int, category: str, rows: list[dict], **common: object) -> list[Pattern]:
@@ -150,8 +151,9 @@ _URI = "[^\\s\"'<>]+"
 _TOKEN = "[a-zA-Z0-9_.=-]"
 
 # secrets' labels and shapes, in order.
+SECRET_PASS = 4
 SECRETS = _numbered(
-    4,
+    SECRET_PASS,
     "secrets",
     [
         _pair("refresh_token", f"{_TOKEN}+", "OAuth Refresh Token"),
@@ -203,14 +205,14 @@ SECRETS = _numbered(
         _shape("(https://discord(?:app)?\\.com/api/webhooks/[0-9]+/[a-zA-Z0-9_-]+)", "Discord Webhook", "/api/webhooks/"),
         _shape("(ASIA[0-9A-Z]{16})", "AWS Temporary Key (ASIA)", "asia"),
         _pair("aws_secret_access_key", "[A-Za-z0-9/+=]{40}", "AWS Secret Key"),
-        _pair("google_application_credentials", "[^\"']+\\.json", "GCP Credentials File"),
-        _shape("PRIVATE KEY-----.*?END (?:RSA|EC|OPENSSH|DSA) PRIVATE KEY-----", "Private Key (Multi-line)", "private key-----", group=0, dotall=True),
+        _pair("google_application_credentials", "[^\"']+\\.json", "GCP Credentials File") | {"closing": "\\.json[\"']?"},
+        _shape("PRIVATE KEY-----.*?END (?:RSA|EC|OPENSSH|DSA) PRIVATE KEY-----", "Private Key (Multi-line)", "private key-----", group=0, dotall=True, closing="END (?:RSA|EC|OPENSSH|DSA) PRIVATE KEY-----"),
         *(
-            _shape(f"({scheme}://{_URI}:{_URI}@{_URI}{rest})", f"{name} URI with password", f"{scheme}://")
+            _shape(f"({scheme}://{_URI}:{_URI}@{_URI}{rest})", f"{name} URI with password", f"{scheme}://", closing=f"@{_URI}{rest}")
             for scheme, rest, name in (("postgresql", "/\\w+", "PostgreSQL"), ("mysql", "/\\w+", "MySQL"), ("mongodb", "(?:/\\w+)?", "MongoDB"))
         ),
-        _shape(f"(redis://:{_URI}@{_URI}(?:/[0-9]+)?)", "Redis URI with password", "redis://"),
-        _shape(f"(clickhouse://{_URI}:{_URI}@{_URI})", "ClickHouse URI", "clickhouse://"),
+        _shape(f"(redis://:{_URI}@{_URI}(?:/[0-9]+)?)", "Redis URI with password", "redis://", closing=f"@{_URI}"),
+        _shape(f"(clickhouse://{_URI}:{_URI}@{_URI})", "ClickHouse URI", "clickhouse://", closing=f"@{_URI}"),
         _pair("X-API-Key", "[a-zA-Z0-9_.-]{20,}", "API Key Header"),
         _pair("Bearer", f"{_TOKEN}{{20,}}", "Bearer Token"),
         _pair("Authorization", "Basic [a-zA-Z0-9=]+", "Basic Auth Credentials"),
@@ -305,7 +307,7 @@ GRAPHQL = _numbered(
     13,
     "graphql",
     [
-        _shape("(?:query|mutation|subscription)\\s+([A-Za-z][A-Za-z0-9_]*)\\s*(?:\\([^)]*\\))?\\s*\\{", "", "query", "mutation", "subscription", fold=True),
+        _shape("(?:query|mutation|subscription)\\s+([A-Za-z][A-Za-z0-9_]*)\\s*(?:\\([^)]*\\))?\\s*\\{", "", "query", "mutation", "subscription", fold=True, closing="\\{"),
         _shape("(?:query|mutation)\\s+(\\w+)\\s*\\(\\s*\\$?\\w+\\s*:\\s*\\w+\\s*\\)\\s*\\{", "", "query", "mutation", fold=True),
         _shape("gql\\s*`([^`]+)`", "", "gql", fold=True),
         _shape("apollo\\.(?:query|mutate)\\s*\\(\\s*\\{\\s*(?:query|mutation):\\s*gql`([^`]+)`", "", "apollo.", fold=True),
@@ -340,20 +342,21 @@ CORE = [*ENDPOINTS, *URLS, *SECRETS, *EMAILS, *FILES, *SOURCEMAPS, *CLOUD, *DEBU
 # ---- detectors -------------------------------------------------------------------------------------------------------
 
 _ARG = f"{_CALL}{_Q}([^\"']+){_Q}"
+_FIELD = f"\\s*:\\s*{_Q}[^\"']+{_Q}"
 
 # Calls by which frameworks name an endpoint.
 FRAMEWORK_ENDPOINTS = _numbered(
     15,
     "endpoints",
     [
-        _shape(f"\\$\\.ajax{_CALL}\\{{[^}}]*url\\s*:\\s*{_Q}([^\"']+){_Q}", "jQuery $.ajax", "$.ajax"),
+        _shape(f"\\$\\.ajax{_CALL}\\{{[^}}]*url\\s*:\\s*{_Q}([^\"']+){_Q}", "jQuery $.ajax", "$.ajax", closing=f"url{_FIELD}"),
         _shape(f"\\$\\.(?:get|post|put|delete){_ARG}", "jQuery HTTP method", "$."),
         _shape(f"axios\\s*\\.\\s*(?:get|post|put|delete|patch|head|options){_ARG}", "Axios call", "axios"),
-        _shape(f"axios{_CALL}\\{{[^}}]*url\\s*:\\s*{_Q}([^\"']+){_Q}", "Axios config", "axios"),
-        _shape(f"axios\\s*\\.\\s*create{_CALL}\\{{[^}}]*baseURL\\s*:\\s*{_Q}([^\"']+){_Q}", "Axios baseURL", "axios"),
+        _shape(f"axios{_CALL}\\{{[^}}]*url\\s*:\\s*{_Q}([^\"']+){_Q}", "Axios config", "axios", closing=f"url{_FIELD}"),
+        _shape(f"axios\\s*\\.\\s*create{_CALL}\\{{[^}}]*baseURL\\s*:\\s*{_Q}([^\"']+){_Q}", "Axios baseURL", "axios", closing=f"baseURL{_FIELD}"),
         _shape(f"(?:useSWR|useQuery){_ARG}", "React data hook", "useswr", "usequery"),
-        _shape(f"(?:getServerSideProps|getStaticProps).*?fetch{_ARG}", "Next.js SSR fetch", "getserversideprops", "getstaticprops", dotall=True),
-        _shape(f"(?:http|httpClient)\\s*\\.\\s*(?:get|post|put|delete|patch)\\s*(?:<[^>]+>)?{_ARG}", "Angular HttpClient", "http"),
+        _shape(f"(?:getServerSideProps|getStaticProps).*?fetch{_ARG}", "Next.js SSR fetch", "getserversideprops", "getstaticprops", dotall=True, closing=f"fetch{_ARG}"),
+        _shape(f"(?:http|httpClient)\\s*\\.\\s*(?:get|post|put|delete|patch)\\s*(?:<[^>]+>)?{_ARG}", "Angular HttpClient", "http", closing=_ARG),
         _shape(f"(?:\\$axios|\\$fetch|useFetch){_ARG}", "Vue/Nuxt fetch", "$axios", "$fetch", "usefetch"),
     ],
     check="over2",
@@ -414,7 +417,7 @@ STORAGE = _numbered(
 
 # What counts as a loose cross-origin rule; a label is found once a document.
 CORS = [
-    Pattern(22, k, "network", label, regex, 0, fold, False, (needle,), "nonempty", "constant", "CORS Misconfiguration")
+    Pattern(22, k, "network", label, regex, 0, fold, False, (needle,), "nonempty", "constant", "CORS Misconfiguration", "origin" + regex.split("origin")[1] if "[^}]*" in regex else None)
     for k, (label, regex, fold, needle) in enumerate(
         [
             ("Wildcard ACAO", "Access-Control-Allow-Origin\\s*[\":]\\s*\\*", False, "access-control-allow-origin"),
@@ -431,7 +434,7 @@ JWT_SECRETS = _numbered(
     "secrets",
     [
         _shape(f"(?:hmac|jwt|signing).{{0,16}}(?:secret|key)\\s*[=:]\\s*{_Q}([^\"']{{8,}}){_Q}", "JWT/HMAC Secret", "secret", "key", fold=True),
-        _shape(f"(?:secret|key)\\s*[=:]\\s*{_Q}([^\"']{{8,}}){_Q}.*(?:hmac|jwt|sign)", "JWT/HMAC Secret", "secret", "key", fold=True, dotall=True),
+        _shape(f"(?:secret|key)\\s*[=:]\\s*{_Q}([^\"']{{8,}}){_Q}.*(?:hmac|jwt|sign)", "JWT/HMAC Secret", "secret", "key", fold=True, dotall=True, closing="(?:hmac|jwt|sign)"),
     ],
     shown="masked",
 )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from scansmith.catalog import Pattern
@@ -21,6 +21,11 @@ def java_of(p: Pattern) -> str:
     return java(p.regex, p.fold, p.dotall)
 
 
+def closing_of(p: Pattern) -> str | None:
+    """An expression of a text up to the last place where a match can end."""
+    return java(f"(?s:^.*)(?:{p.closing})", p.fold, p.dotall) if p.closing else None
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, _STRIP, "")
 
@@ -101,8 +106,14 @@ def _of_codes(m: Column) -> Column:
 
 
 def collapsed_sums(text: Column, passes: int = _HALVINGS) -> Column:
-    """Sums of string literals as one literal: each pass halves their operands."""
-    return F.aggregate(F.sequence(F.lit(1), F.lit(passes)), text, lambda t, _: F.when(F.contains(t, F.lit("+")), F.regexp_replace(t, java(_SUM), '"$2$4"')).otherwise(t))
+    """Sums of string literals as one literal: each pass halves their operands, until one changes nothing."""
+
+    def once(state: Column) -> Column:
+        after = lambda t: F.struct(t.alias("t"), (t != state["t"]).alias("more"))
+        return F.when(state["more"], let(F.regexp_replace(state["t"], java(_SUM), '"$2$4"'), after)).otherwise(state)
+
+    begin = F.struct(text.alias("t"), F.contains(text, F.lit("+")).alias("more"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(passes)), begin, lambda state, _: once(state), lambda state: state["t"])
 
 
 def plain(text: Column) -> Column:

@@ -31,7 +31,7 @@ def frameworks(text: Column) -> Column:
     return F.filter(F.array(*seen), lambda x: x.isNotNull())
 
 
-DEFINE = Pattern(17, 0, "debug", "Webpack DefinePlugin", "new\\s+webpack\\.DefinePlugin\\s*\\(\\s*\\{([^}]+)\\}", needles=("webpack.defineplugin",))
+DEFINE = Pattern(17, 0, "debug", "Webpack DefinePlugin", "new\\s+webpack\\.DefinePlugin\\s*\\(\\s*\\{([^}]+)\\}", needles=("webpack.defineplugin",), closing="\\}")
 _ENTRY = java("[\"']?([A-Z_][A-Z_0-9.]*)[\"']?\\s*:\\s*(?:JSON\\.stringify\\s*\\(\\s*)?[\"']([^\"']+)[\"']")
 
 

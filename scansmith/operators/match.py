@@ -1,7 +1,7 @@
 """The match kernel: all matches of a regular expression in a text, with the line of each, by expressions alone.
 
 For an expression, `split` gives what lies between its matches and `regexp_extract_all` the matches; adding up line feeds
-along both gives each match's line; a text without a match is searched once. Which patterns run on a text is decided by their literal needles: one pass of substring
+along both gives each match's line, in blocks, so that time is linear in the matches; a text without a match is searched once. Which patterns run on a text is decided by their literal needles: one pass of substring
 searches over the lower-cased text, so a text meets the few expressions that it may match, not the whole catalogue.
 """
 
@@ -27,25 +27,44 @@ def candidates(conditions: Sequence[Column]) -> Column:
     return F.filter(F.array(*(F.when(c, F.lit(i)) for i, c in enumerate(conditions))), lambda i: i.isNotNull())
 
 
+def clipped(text: Column, closing: Column) -> Column:
+    """text up to the last place where a match can end, if its expression says so (closing), else all of it.
+
+    An expression with an open run tries every beginning up to the end of the text; behind the last possible end, that is
+    time without a match.
+    """
+    return F.when(closing.isNull(), text).otherwise(F.call_function("regexp_extract", text, closing, F.lit(0)))
+
+
 def matches(text: Column, regex: Column, group: Column) -> Column:
     """Array of (match_ord, value, line, after): each match's group, its line, and what follows it up to the next one; null for no match."""
     return let(F.regexp_extract_all(text, regex, F.lit(0)), lambda whole: F.when(F.size(whole) > 0, _placed(text, regex, group, whole)))
 
 
+def _running(counts: Column) -> Column:
+    """The sums before each number of an array, in time linear in its length up to a small root: within blocks of about the
+    root of its length, and over blocks. A fold that appends copies its array each time, so none is longer than that."""
+
+    def sums(numbers: Column, start: Column) -> Column:
+        state = F.struct(start.alias("sum"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(numbers, state, lambda a, x: F.struct((a["sum"] + x).alias("sum"), F.array_append(a["out"], a["sum"]).alias("out")), lambda a: a["out"])
+
+    size = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(counts))).cast("int"))
+    blocks = lambda n: F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.size(counts) / n).cast("int") - 1)), lambda k: F.slice(counts, k * n + 1, n))
+    total = lambda b: F.aggregate(b, F.lit(0), lambda a, x: a + x)
+    whole = lambda parts: F.flatten(F.zip_with(parts, sums(F.transform(parts, total), F.lit(0)), sums))
+    return let(let(size, blocks), whole)
+
+
 def _placed(text: Column, regex: Column, group: Column, whole: Column) -> Column:
-    between = F.split(text, regex, -1)
-    # line feeds before each match: those between matches so far and those within the matches before it
-    lines = lambda zipped: F.aggregate(
-        zipped,
-        F.struct(F.lit(1).alias("line"), F.array().cast("array<int>").alias("out")),
-        lambda a, x: F.struct((a["line"] + newlines(x["b"]) + newlines(x["w"])).cast("int").alias("line"), F.array_append(a["out"], (a["line"] + newlines(x["b"])).cast("int")).alias("out")),
-        lambda a: a["out"],
-    )
     # a match holds its group, so that the expression need not search the text again
     value = lambda w: F.when(group == 0, w).otherwise(F.call_function("regexp_extract", w, regex, group))
-    rows = lambda parts: F.zip_with(
-        F.arrays_zip(whole.alias("w"), F.slice(parts, F.lit(2), F.size(whole)).alias("a")),
-        lines(F.arrays_zip(F.slice(parts, F.lit(1), F.size(whole)).alias("b"), whole.alias("w"))),
-        lambda x, line: F.struct(value(x["w"]).alias("value"), line.alias("line"), x["a"].alias("after")),
-    )
-    return F.transform(let(between, rows), lambda x, i: F.struct(i.cast("int").alias("match_ord"), x["value"].alias("value"), x["line"].alias("line"), x["after"].alias("after")))
+
+    def rows(parts: Column) -> Column:
+        inside = F.transform(whole, lambda w: newlines(w))
+        gaps = F.zip_with(F.slice(parts, F.lit(1), F.size(whole)), F.concat(F.array(F.lit(0)), F.slice(inside, F.lit(1), F.size(whole) - 1)), lambda b, n: newlines(b) + n)
+        found = F.arrays_zip(whole.alias("w"), F.slice(parts, F.lit(2), F.size(whole)).alias("after"), gaps.alias("gap"))
+        # line feeds up to a match: those before each earlier gap's end, and those of its own gap
+        return F.zip_with(found, let(gaps, _running), lambda x, n: F.struct(value(x["w"]).alias("value"), (n + x["gap"] + 1).cast("int").alias("line"), x["after"].alias("after")))
+
+    return F.transform(let(F.split(text, regex, -1), rows), lambda x, i: F.struct(i.cast("int").alias("match_ord"), x["value"].alias("value"), x["line"].alias("line"), x["after"].alias("after")))

@@ -9,14 +9,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scansmith import catalog as C
 from scansmith.catalog import Pattern
 from scansmith.functions import text as T
 from scansmith.operators import calls, detectors, secrets_score
-from scansmith.operators.match import candidates, matches, present
+from scansmith.operators.match import candidates, clipped, matches, present
 from scansmith.operators.validate import CHECKS
 
 FINDINGS = (
@@ -37,7 +37,8 @@ class ScanOptions:
 
 
 CALLS = Pattern(2, 0, "endpoints", None, "", check="endpoint")  # pass 2, which has no expression
-MOST_ENTRIES = 100_000  # of a bundler's definition, in the order of matches
+# Passes whose values are shown as they are, and those of special kinds.
+AS_FOUND, ENVIRONMENT, ORIGINS = (5, 15, 16, 17, 18, 21), 16, 22
 
 
 def patterns_of(options: ScanOptions) -> list[Pattern]:
@@ -49,6 +50,12 @@ def patterns_of(options: ScanOptions) -> list[Pattern]:
     return sorted((p for p in found if p.category in options.categories), key=lambda p: (p.order, p.ordinal))
 
 
+def entries(blocks: Column) -> Column:
+    """The entries of matched definition blocks as matches of their own, numbered through."""
+    one = lambda m: F.transform(detectors.define_entries(m["value"]), lambda e: m.withField("value", e))
+    return F.transform(F.flatten(F.transform(blocks, one)), lambda m, i: m.withField("match_ord", i.cast("int")))
+
+
 def raw_matches(docs: DataFrame, options: ScanOptions) -> DataFrame:
     """Every match of docs (source, text), before checks: source, category, type, check, shown, prefix, value, line, ..."""
     patterns = patterns_of(options)
@@ -58,21 +65,20 @@ def raw_matches(docs: DataFrame, options: ScanOptions) -> DataFrame:
     other = [calls.call_matches(F.col("text")).alias("calls")] if CALLS in patterns else []
     ready = ready.select("source", "text", F.lower("text").alias("low"), *other)
     may = [F.size("calls") > 0 if p is CALLS else present(F.col("low"), p) for p in patterns]
-    hit = ready.select("source", "text", *["calls"] * len(other), F.explode(candidates(may)).alias("place"))
-    known = hit.withColumns({"regex": told(T.java_of), "group": told(lambda p: p.group)})
-    found = matches(F.col("text"), F.col("regex"), F.col("group"))
+    ready = ready.select("source", "text", *["calls"] * len(other), candidates(may).alias("places"))
+    scored = [k for k, p in enumerate(patterns) if p.order == C.SECRET_PASS] if options.entropy else []
+    doubts = F.when(F.exists("places", lambda k: k.isin(scored)), secrets_score.doubtful_lines(F.col("text"))) if scored else F.lit(None).cast("array<boolean>")
+    hit = ready.select("source", "text", *["calls"] * len(other), doubts.alias("doubts"), F.explode("places").alias("place"))
+    known = hit.withColumns({"regex": told(T.java_of), "group": told(lambda p: p.group), "closing": told(T.closing_of)})
+    found = T.let(clipped(F.col("text"), F.col("closing")), lambda t: matches(t, F.col("regex"), F.col("group")))
     if CALLS in patterns:
         found = F.when(place == patterns.index(CALLS), F.col("calls")).otherwise(found)
-    line_text = F.split("text", secrets_score.LINE_BREAK) if options.entropy else F.lit(None).cast("array<string>")
-    found = known.select("source", "place", line_text.alias("lines"), F.explode(found).alias("m")).select("source", "place", "m.*", F.try_element_at("lines", F.col("m.line")).alias("line_text"))
     if detectors.DEFINE in patterns:  # an entry is a finding, on its block's line
-        block = place == patterns.index(detectors.DEFINE)
-        each = F.when(block, detectors.define_entries(F.col("value"))).otherwise(F.array("value"))
-        rest = [c for c in found.columns if c != "value"]
-        found = found.select(*rest, F.posexplode(each).alias("entry", "value")).withColumn("match_ord", F.when(block, F.col("match_ord") * MOST_ENTRIES + F.col("entry")).otherwise(F.col("match_ord"))).drop("entry")
+        found = F.when(place == patterns.index(detectors.DEFINE), T.let(found, entries)).otherwise(found)
+    found = known.select("source", "place", "doubts", F.explode(found).alias("m")).select("source", "place", "m.*", F.try_element_at("doubts", F.col("m.line")).alias("doubtful"))
     named = {"pass_ord": lambda p: p.order, "pat_ord": lambda p: p.ordinal, "category": lambda p: p.category, "type": lambda p: p.label or None, "check": lambda p: p.check, "shown": lambda p: p.shown, "prefix": lambda p: p.prefix}
     found = found.withColumns({name: told(what) for name, what in named.items()}).drop("place")
-    return found.withColumn("value", F.when(F.col("pass_ord").isin(5, 15, 16, 17, 18, 21), F.col("value")).otherwise(T.strip(F.col("value"))))
+    return found.withColumn("value", F.when(F.col("pass_ord").isin(*AS_FOUND), F.col("value")).otherwise(T.strip(F.col("value"))))
 
 
 def checked(found: DataFrame) -> DataFrame:
@@ -113,9 +119,9 @@ def scan(docs: DataFrame, options: ScanOptions = ScanOptions()) -> DataFrame:  #
         out = out.withColumns({"confidence": F.lit(None).cast("string"), "entropy": F.lit(None).cast("double"), "validated": F.lit(None).cast("boolean")})
     out = detectors.extras(out)
     names = [f.split()[0] for f in FINDINGS.split(", ")]
-    out = out.withColumn("type", F.when(F.col("pass_ord") == 22, F.lit("CORS Misconfiguration")).otherwise(F.col("type")))
+    out = out.withColumn("type", F.when(F.col("pass_ord") == ORIGINS, F.lit("CORS Misconfiguration")).otherwise(F.col("type")))
     if options.frameworks:  # a variable counts once, whatever pattern found it
-        env = F.col("pass_ord") == 16
+        env = F.col("pass_ord") == ENVIRONMENT
         keyed = out.select(*names, env.alias("env"), F.when(env, F.col("raw")).otherwise(F.col("value")).alias("key"))
         out = first_wins(keyed, ("source", "category", "env", "key"))
     return first_wins(out.select(names)).select(names)

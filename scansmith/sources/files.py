@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,12 +50,27 @@ def ignore_regex(rule: str) -> tuple[str, bool] | None:
     return f"^{'' if rooted else '(?:.*/)?'}{out}{'/.+' if folder else '(?:/.+)?'}$", again
 
 
+def _compiles(regex: str) -> bool:
+    try:
+        SparkSession.active()._jvm.java.util.regex.Pattern.compile(regex)
+    except IllegalArgumentException:
+        return False
+    return True
+
+
 def ignored(path: Column, rules: list[str]) -> Column:
-    """Whether the last rule that fits a relative path ignores it."""
-    out = F.lit(False)
-    for found in filter(None, map(ignore_regex, rules)):
-        out = F.when(path.rlike(found[0]), F.lit(not found[1])).otherwise(out)
-    return out
+    """Whether the last rule that fits a relative path ignores it; a rule that is no valid expression fits none.
+
+    All rules are one alternation, the last one first, so that its first branch that fits decides. A branch that ignores
+    takes up the path and one that re-includes looks ahead, so what was taken up tells which it was.
+    """
+    found = [r for r in map(ignore_regex, reversed(rules)) if r]
+    branches = [f"(?={regex})" if again else regex for regex, again in found]
+    if not branches:
+        return F.lit(False)
+    if not _compiles("|".join(branches)):
+        branches = list(filter(_compiles, branches))
+    return F.regexp_extract(path, "|".join(branches) or "$.", 0) != ""
 
 
 def _files(spark: SparkSession, path: str):  # noqa: ANN202
