@@ -6,7 +6,8 @@ indicators are hashed into BUCKETS and scaled by the classes' log-count ratio; a
 dual coordinate descent. Margins of rows that the fit did not see give the sigmoid that turns a margin into a score.
 
 Defined results: an empty or null text has no n-grams and scores what the intercept gives; every row gets its own score;
-with no labels, or labels of one class, every score is 1.0, so nothing is rejected.
+with no labels, or labels of one class, every score is 1.0, so nothing is rejected; very long texts are taken in pieces that
+overlap, whole; repeated rows score alike; an empty table gives no rows; other columns stay, but one of the score's name is replaced.
 """
 
 from __future__ import annotations

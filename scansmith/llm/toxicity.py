@@ -5,18 +5,21 @@ A text is the average of its subwords' embeddings, which a linear softmax turns
 mini-batches with per-coordinate step sizes in numpy. A misspelling or an ending that training never saw shares most of its
 n-grams, and so its vectors, with words that it did see.
 
-Only subwords whose frequency tells the classes apart (by EVIDENCE standard errors) are in the bag: on few labelled rows all
-others would only learn them by heart. A subword counts by the logarithm of its frequency, and a text has besides its own
-subwords PRIOR ones of an average clean text, so that short texts need stronger signs. Every training row's margin comes from
-a fit that did not see it, evidence included, and these margins set the score's sigmoid, at the labels' shares of the classes.
+Only subwords whose frequency tells the classes apart (by SETTING.evidence standard errors) are in the bag: on few labelled rows
+all others would only learn them by heart. A subword counts by the logarithm of its frequency, and a text has besides its own
+subwords SETTING.prior ones of an average clean text, so that short texts need stronger signs. Every training row's margin comes
+from a fit that did not see it, evidence included, and these margins set the score's sigmoid, at the labels' shares of the classes.
+Few training rows are passed more often, MOST_PASSES times at most, so that fits of all sizes take about as many steps.
 
 Defined results: an empty or null text, or one without words or telling subwords, scores as an average clean text; very long
-texts are split in slices, whole; every row gets its own score; with no labels, or labels of one class, every score is 0.0.
+texts are split in slices, whole; every row gets its own score, repeated ones too; with no labels, or labels of one class, every
+score is 0.0; an empty table gives no rows; other columns stay, but one of the score's name is replaced.
 """
 
 from __future__ import annotations
 
 import pickle
+from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -30,13 +33,24 @@ MIN, MAX = 3, 6
 DIMENSIONS, BATCH, STEP = 8, 32, 0.3
 PASSES, MOST_PASSES, PASSED_ROWS = 8, 60, 48_000  # few rows are passed more often, for about as many steps
 SPLITS = 4
-PRIOR = 20.0  # subwords of an average clean text that every text has besides its own
 TRAINING_ROWS = 8000
-SEEN, EVIDENCE = 3, 3.0  # training rows that hold a learned subword, and standard errors between the classes' means
-RATE, LEAST = 1000, 200  # a subword's frequency is counted in so many subwords; shorter texts count as so long
+SEEN = 3  # training rows that hold a learned subword
+LEAST = 200  # texts of fewer subwords count as so long
 THRESHOLD = 0.5
 
 
+class Setting(NamedTuple):
+    """What `choice` decides, from training rows alone."""
+
+    evidence: float  # standard errors between the classes' means of a learned subword
+    prior: float  # subwords of an average clean text that every text has besides its own
+    rate: int  # a subword's frequency is counted in so many subwords
+
+
+CHOICES = [Setting(e, p, r) for e in (2.0, 3.0, 4.0, 5.0) for p in (5.0, 20.0, 50.0) for r in (300, 1000)]
+SETTING = Setting(4.0, 50.0, 1000)  # the least loss of `choice` on the training folds of the given tables
+
+
 def subwords(text: str) -> np.ndarray:
     """The bucket of every n-gram of every word of a text, in order of length, then place."""
     data = np.frombuffer(text.encode(), np.uint8)
@@ -66,9 +80,9 @@ def counted(text: str) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(subwords(text), return_counts=True)
 
 
-def _damped(counts: np.ndarray) -> np.ndarray:
+def _damped(counts: np.ndarray, rate: int) -> np.ndarray:
     """What subwords weigh that occur so often in a text: the logarithm of their frequency, so that no single word makes up a text."""
-    return np.log1p(counts * (RATE / max(int(counts.sum()), LEAST))).astype(np.float32)
+    return np.log1p(counts * (rate / max(int(counts.sum()), LEAST))).astype(np.float32)
 
 
 def evidence(labels: np.ndarray, rows: list[np.ndarray], values: list[np.ndarray]) -> np.ndarray:
@@ -91,18 +105,18 @@ def _told(place: np.ndarray, row: np.ndarray, value: np.ndarray) -> tuple[np.nda
     return own[kept], value[kept]
 
 
-def _fitted(labels: np.ndarray, rows: list[np.ndarray], values: list[np.ndarray], seed: int) -> tuple[np.ndarray, float]:
+def _fitted(labels: np.ndarray, rows: list[np.ndarray], values: list[np.ndarray], seed: int, setting: Setting) -> tuple[np.ndarray, float]:
     """The value of each subword, NaN without an opinion, and the margin of an average clean text.
 
     For two classes the softmax needs the difference of the class weights only, so a subword's value is its embedding times
     that difference; the embeddings themselves stay behind.
     """
     rng = np.random.default_rng(seed)
-    known = np.flatnonzero(evidence(labels, rows, values) >= EVIDENCE)
+    known = np.flatnonzero(evidence(labels, rows, values) >= setting.evidence)
     place = np.full(BUCKETS, -1, np.int64)
     place[known] = np.arange(len(known))
     rows, values = zip(*(_told(place, r, v) for r, v in zip(rows, values, strict=True)), strict=True)
-    share = [(v / (v.sum() + PRIOR)).astype(np.float32) for v in values]
+    share = [(v / (v.sum() + setting.prior)).astype(np.float32) for v in values]
     n = max(1, len(known))
     embeddings = (rng.random((n, DIMENSIONS), np.float32) - np.float32(0.5)) / DIMENSIONS
     softmax, bias = rng.normal(0, 0.5, (DIMENSIONS, 2)).astype(np.float32), np.zeros(2, np.float32)
@@ -143,32 +157,52 @@ def _fitted(labels: np.ndarray, rows: list[np.ndarray], values: list[np.ndarray]
     return out, float(np.mean([told[r] @ s for r, s, y in zip(rows, share, labels, strict=True) if y == 0]))
 
 
-def _margin(known: np.ndarray, clean: float, row: np.ndarray, value: np.ndarray) -> float:
+def _margin(known: np.ndarray, clean: float, prior: float, row: np.ndarray, value: np.ndarray) -> float:
     told = known[row]
     kept = ~np.isnan(told)
     value = value[kept]
-    return float((told[kept].astype(np.float64) @ value + clean * PRIOR) / (value.sum() + PRIOR))
+    return float((told[kept].astype(np.float64) @ value + clean * prior) / (value.sum() + prior))
 
 
-def fit(labels: np.ndarray, rows: list[np.ndarray], counts: list[np.ndarray], totals: tuple[int, int] | None = None) -> bytes:
-    """The pickled (value of each subword, margin of a clean text, a, b); None if there is one class."""
-    if len(set(labels.tolist())) < 2:
-        return pickle.dumps(None)
-    values, rng = [_damped(c) for c in counts], np.random.default_rng(7)
-    split, margins = np.empty(len(labels), np.int64), np.full(len(labels), np.nan)
+def _crossed(labels: np.ndarray, rows: list[np.ndarray], values: list[np.ndarray], setting: Setting) -> np.ndarray:
+    """Every row's margin from a fit that did not see it; NaN where the others are of one class."""
+    rng, split, margins = np.random.default_rng(7), np.empty(len(labels), np.int64), np.full(len(labels), np.nan)
     for y in (0, 1):  # both classes in each split
         own = rng.permutation(np.flatnonzero(labels == y))
         split[own] = np.arange(len(own)) % SPLITS
     for k in range(SPLITS):
         train, late = np.flatnonzero(split != k), np.flatnonzero(split == k)
         if len(set(labels[train].tolist())) == 2:
-            part = _fitted(labels[train], [rows[i] for i in train], [values[i] for i in train], k)
-            margins[late] = [_margin(*part, rows[i], values[i]) for i in late]
-    whole = _fitted(labels, rows, values, SPLITS)
+            known, clean = _fitted(labels[train], [rows[i] for i in train], [values[i] for i in train], k, setting)
+            margins[late] = [_margin(known, clean, setting.prior, rows[i], values[i]) for i in late]
+    return margins
+
+
+def choice(labels: np.ndarray, rows: list[np.ndarray], counts: list[np.ndarray], totals: tuple[int, int], settings: list[Setting] = CHOICES) -> list[tuple[float, Setting]]:
+    """(mean logarithmic loss, setting), least first: of training rows' scores by fits that did not see them.
+
+    SETTING was chosen by this, on training rows; the held-out fold has no part in it.
+    """
+    out, share = [], np.where(labels > 0, totals[1] / max(1, labels.sum()), totals[0] / max(1, (labels == 0).sum()))
+    for setting in settings:
+        margins = _crossed(labels, rows, [_damped(c, setting.rate) for c in counts], setting)
+        a, b = platt(margins, labels, totals)
+        score = np.clip(sigmoid(a * margins + b), 1e-6, 1 - 1e-6)
+        out.append((float(np.average(-np.log(np.where(labels > 0, score, 1 - score)), weights=share)), setting))
+    return sorted(out)
+
+
+def fit(labels: np.ndarray, rows: list[np.ndarray], counts: list[np.ndarray], totals: tuple[int, int] | None = None, setting: Setting = SETTING) -> bytes:
+    """The pickled (value of each subword, margin of a clean text, a, b, setting); None if there is one class."""
+    if len(set(labels.tolist())) < 2:
+        return pickle.dumps(None)
+    values = [_damped(c, setting.rate) for c in counts]
+    margins = _crossed(labels, rows, values, setting)
+    known, clean = _fitted(labels, rows, values, SPLITS, setting)
     seen = ~np.isnan(margins)
     if len(set(labels[seen].tolist())) < 2:  # a single row of a class
-        margins, seen = np.array([_margin(*whole, r, v) for r, v in zip(rows, values, strict=True)]), np.ones(len(labels), bool)
-    return pickle.dumps((*whole, *platt(margins[seen], labels[seen], totals)))
+        margins, seen = np.array([_margin(known, clean, setting.prior, r, v) for r, v in zip(rows, values, strict=True)]), np.ones(len(labels), bool)
+    return pickle.dumps((known, clean, *platt(margins[seen], labels[seen], totals), tuple(setting)))
 
 
 def scorer(model: bytes):  # noqa: ANN201
@@ -176,11 +210,12 @@ def scorer(model: bytes):  # noqa: ANN201
     known = pickle.loads(model)
     if known is None:
         return lambda texts: np.zeros(len(texts))
-    values, clean, a, b = known
+    values, clean, a, b, setting = known
+    _, prior, rate = setting
 
     def score(texts: list[str]) -> np.ndarray:
         found = [counted(text) for text in texts]
-        return sigmoid(a * np.array([_margin(values, clean, own, _damped(n)) for own, n in found]) + b)
+        return sigmoid(a * np.array([_margin(values, clean, prior, own, _damped(n, rate)) for own, n in found]) + b)
 
     return score
 
