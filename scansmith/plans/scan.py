@@ -65,17 +65,16 @@ def raw_matches(docs: DataFrame, options: ScanOptions) -> DataFrame:
     other = [calls.call_matches(F.col("text")).alias("calls")] if CALLS in patterns else []
     ready = ready.select("source", "text", F.lower("text").alias("low"), *other)
     may = [F.size("calls") > 0 if p is CALLS else present(F.col("low"), p) for p in patterns]
-    ready = ready.select("source", "text", *["calls"] * len(other), candidates(may).alias("places"))
+    hit = ready.select("source", "text", *["calls"] * len(other), F.explode(candidates(may)).alias("place"))
     scored = [k for k, p in enumerate(patterns) if p.order == C.SECRET_PASS] if options.entropy else []
-    doubts = F.when(F.exists("places", lambda k: k.isin(scored)), secrets_score.doubtful_lines(F.col("text"))) if scored else F.lit(None).cast("array<boolean>")
-    hit = ready.select("source", "text", *["calls"] * len(other), doubts.alias("doubts"), F.explode("places").alias("place"))
+    doubts = F.when(place.isin(scored), secrets_score.doubtful_lines(F.col("text"))) if scored else F.lit(None).cast("array<boolean>")
     known = hit.withColumns({"regex": told(T.java_of), "group": told(lambda p: p.group), "closing": told(T.closing_of)})
     found = T.let(clipped(F.col("text"), F.col("closing")), lambda t: matches(t, F.col("regex"), F.col("group")))
     if CALLS in patterns:
         found = F.when(place == patterns.index(CALLS), F.col("calls")).otherwise(found)
     if detectors.DEFINE in patterns:  # an entry is a finding, on its block's line
         found = F.when(place == patterns.index(detectors.DEFINE), T.let(found, entries)).otherwise(found)
-    found = known.select("source", "place", "doubts", F.explode(found).alias("m")).select("source", "place", "m.*", F.try_element_at("doubts", F.col("m.line")).alias("doubtful"))
+    found = known.select("source", "place", doubts.alias("doubts"), F.explode(found).alias("m")).select("source", "place", "m.*", F.try_element_at("doubts", F.col("m.line")).alias("doubtful"))
     named = {"pass_ord": lambda p: p.order, "pat_ord": lambda p: p.ordinal, "category": lambda p: p.category, "type": lambda p: p.label or None, "check": lambda p: p.check, "shown": lambda p: p.shown, "prefix": lambda p: p.prefix}
     found = found.withColumns({name: told(what) for name, what in named.items()}).drop("place")
     return found.withColumn("value", F.when(F.col("pass_ord").isin(*AS_FOUND), F.col("value")).otherwise(T.strip(F.col("value"))))
