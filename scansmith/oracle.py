@@ -62,7 +62,7 @@ def findings_sql(patterns: Sequence[Pattern], docs: str | None = None) -> str:
     """CTEs `docs`, `matches` and `findings` (first of each source, category and value)."""
     union = "\nUNION ALL ".join(pattern_sql(p) for p in patterns)
     return (
-        f"WITH docs AS MATERIALIZED (SELECT source, text, lower(text) AS low FROM ({docs or corpus_sql(dialect='duckdb')})), matches AS ({union}), findings AS ("
+        f"WITH docs AS MATERIALIZED (SELECT source, text, lower(text) AS low FROM ({docs or corpus_sql(dialect='duckdb')})), matches AS ({union}), findings AS MATERIALIZED ("
         "SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY source, category, value ORDER BY pass_ord, pat_ord, match_ord) AS k FROM matches) WHERE k = 1)"
     )
 

@@ -22,7 +22,7 @@ ORACLE: dict[str, str] = {}
 
 _COLUMNS = ["category", "value", "source", "line", "type", "pass_ord", "pat_ord", "match_ord"]
 _SELECT = f" SELECT {', '.join(_COLUMNS)} FROM findings"
-#: Rollups run over these categories, those with names on _all over every one.
+#: Rollups with names on _some run over these categories, the others over every one.
 _SOME = ("endpoints", "emails", "network", "cloud")
 
 
@@ -49,7 +49,7 @@ def _env_risk_sql() -> str:
 
 def _findings_sql(*categories: str, docs: str | None = None) -> str:
     sql = O.findings_sql(_patterns(*categories), docs)
-    return sql.replace("), findings AS (", f"\nUNION ALL {_env_risk_sql()}), findings AS (", 1) if "debug" in categories else sql
+    return sql.replace("), findings AS", f"\nUNION ALL {_env_risk_sql()}), findings AS", 1) if "debug" in categories else sql
 
 
 # ---- scans of each category, and of all ------------------------------------------------------------------------------
@@ -142,15 +142,15 @@ def _rollups(tail: str, categories: tuple[str, ...]) -> None:
         f"sarif_results{tail}",
         lambda s, d: R.sarif_results(some(s, d)),
         sql
-        + ", firsts AS (SELECT category, source, pass_ord, pat_ord, match_ord, row_number() OVER (PARTITION BY category ORDER BY source, pass_ord, pat_ord, match_ord) AS k FROM findings)"
-        + ", rules AS (SELECT category, CAST(row_number() OVER (ORDER BY source, pass_ord, pat_ord, match_ord, category) - 1 AS INTEGER) AS rule_index FROM firsts WHERE k = 1)"
+        + ", firsts AS (SELECT category, min({'source': source, 'pass_ord': pass_ord, 'pat_ord': pat_ord, 'match_ord': match_ord}) AS first FROM findings GROUP BY category)"
+        + ", rules AS (SELECT category, CAST(row_number() OVER (ORDER BY first, category) - 1 AS INTEGER) AS rule_index FROM firsts)"
         + f" SELECT rule_index, f.category, {_SARIF.replace('CASE category', 'CASE f.category')} AS level, value AS message, source AS uri, greatest(line, 1) AS start_line FROM findings f JOIN rules r ON f.category = r.category",
     )
 
 
-_rollups("", _SOME)
-_rollups("_all", C.CATEGORIES)
-_add("category_filter", lambda s, d: R.in_category(_found(s, d, *_SOME), "network"), _findings_sql(*_SOME) + " SELECT line, value, string_split(source, '/')[-1] AS file FROM findings WHERE category = 'network'")
+_rollups("", C.CATEGORIES)
+_rollups("_some", _SOME)
+_add("category_filter", lambda s, d: R.in_category(_found(s, d), "network"), _findings_sql(*C.CATEGORIES) + " SELECT line, value, string_split(source, '/')[-1] AS file FROM findings WHERE category = 'network'")
 _add("top_secrets", lambda s, d: R.top_secrets(_found(s, d, "secrets")).select("value", "source", "line"), O.findings_sql(C.SECRETS) + f" SELECT value, source, line FROM findings ORDER BY {_ORDER}, value LIMIT 5")
 _EP = lambda s, d: _found(s, d, "endpoints")
 _EP_SQL = _findings_sql("endpoints")
