@@ -43,8 +43,8 @@ def shared_folder(spark: SparkSession, what: str) -> str:
 
 
 _PLACES: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
-BATCH_ROWS = 512  # rows that a worker takes at once
-_BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS, BATCH_BYTES = 512, 64 << 20  # that a worker takes at once; a larger row comes alone
+_BATCH_SETTINGS = {"spark.sql.execution.arrow.maxRecordsPerBatch": BATCH_ROWS, "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES}
 
 
 def _file_system(spark: SparkSession, path: str):  # noqa: ANN202
@@ -59,14 +59,17 @@ def deleted_at_exit(spark: SparkSession, path: str) -> None:
 
 
 @contextlib.contextmanager
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
-    """Arrow batches of at most so many rows for what runs within; the session's own setting holds again behind it."""
-    own = spark.conf.get(_BATCH_SETTING)
-    spark.conf.set(_BATCH_SETTING, str(min(rows, int(own)) if int(own) > 0 else rows))
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of bounded rows and bytes for what runs within; the session's own settings hold again behind it."""
+    own = {k: spark.conf.get(k) for k in _BATCH_SETTINGS}
+    for k, most in _BATCH_SETTINGS.items():
+        number = int("".join(filter(str.isdigit, own[k])) or 0) if own[k].rstrip("bB").lstrip("-").isdigit() else 0
+        spark.conf.set(k, str(min(most, number) if number > 0 and not own[k].startswith("-") else most))
     try:
         yield
     finally:
-        spark.conf.set(_BATCH_SETTING, own)
+        for k, value in own.items():
+            spark.conf.set(k, value)
 
 
 def written(df: DataFrame, what: str) -> DataFrame:

@@ -10,8 +10,9 @@ recomputed, never what is nearest. A cell is scaled by a power of two to the usu
 far from that size have no bound, so they are all recomputed.
 
 Defined results: vectors that are null, empty, zero, or hold a null or non-finite component take no part; vectors of another
-length than the query's are no candidates; a row repeated as a whole counts once; a query with fewer candidates than k gets
-all; no queries give no rows; other columns are ignored. Components of any size down to the least double count, squares that
+length than the query's are no candidates; a row repeated as a whole counts once, other rows of the query's own vec_id are its
+own; a row of a null vec_id takes no part; a query with fewer candidates than k gets all; no queries give no rows; other columns
+are ignored. Components of any size down to the least double count, squares that
 would leave the range of doubles included; a distance over the greatest double is infinite.
 """
 
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scansmith.llm.common import written
+from scansmith.llm.common import blobs, written
 
 K = 10
 CANDIDATES, QUERIES = 8192, 4096  # vectors in a block
@@ -46,8 +47,7 @@ def usable(vectors: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            blobs = [v.values.to_numpy(zero_copy_only=False).astype("<f8").tobytes() for v in b.column(1)]
-            yield pa.record_batch([b.column(0), pa.array([len(v) // 8 for v in blobs], pa.int32()), pa.array(blobs, pa.binary())], ["vec_id", "dims", "vector"])
+            yield pa.record_batch([b.column(0), *blobs(b.column(1))], ["vec_id", "dims", "vector"])
 
     return rows.mapInArrow(run, "vec_id long, dims int, vector binary").distinct()
 

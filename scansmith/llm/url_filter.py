@@ -19,7 +19,6 @@ from __future__ import annotations
 import bisect
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -105,28 +104,32 @@ class _Level:
         return None
 
 
-def sweep(urls: pd.DataFrame, rules: pd.DataFrame, default: str) -> pd.DataFrame:
-    """rule and verdict of the urls of one range, in one pass over both in key order."""
-    urls = urls.sort_values(["key", "path"], kind="stable")
-    rules = rules.sort_values(["key", "path", "verdict"], kind="stable")
-    pending = list(zip(rules["key"], rules["path"], rules["rule"], rules["verdict"], strict=True))
-    at, stack, out = 0, [], []
-    for key, path in zip(urls["key"], urls["path"], strict=True):
-        while at < len(pending) and pending[at][0] <= key:
-            own = pending[at][0]
-            while stack and not own.startswith(stack[-1].key):
+_RESULT = "page_id long, host string, path string, rule string, verdict string"
+
+
+def sweep(batches: Iterator[pa.RecordBatch], default: str) -> Iterator[pa.RecordBatch]:
+    """rule and verdict of the urls, in one pass over rules and urls (range, key, url, page_id, host, path, rule, verdict) by range, key, and rules first.
+
+    What is held are the nested rules that are active at a key, however many rows a range has.
+    """
+    current, stack = None, []
+    for b in batches:
+        out = []
+        for number, key, url, page_id, host, path, rule, verdict in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if number != current:
+                current, stack = number, []
+            while stack and not key.startswith(stack[-1].key):
                 stack.pop()
-            if not stack or stack[-1].key != own:
-                stack.append(_Level(own))
-            stack[-1].add(*pending[at][1:])
-            at += 1
-        while stack and not key.startswith(stack[-1].key):
-            stack.pop()
-        fits = [f for level in stack if key and (f := level.longest(path))]
-        out.append(min(fits, key=lambda f: (-len(f[0]), f[0])) if fits else (None, default))
-    # lists, not columns: those of a range without urls would not become Arrow arrays
-    rows = [(*known, *told) for known, told in zip(urls[["page_id", "host", "path"]].itertuples(index=False, name=None), out, strict=True)]
-    return pd.DataFrame(rows, columns=["page_id", "host", "path", "rule", "verdict"], dtype=object)
+            if url:
+                fits = [f for level in stack if (f := level.longest(path))]
+                out.append((page_id, host, path, *(min(fits, key=lambda f: (-len(f[0]), f[0])) if fits else (None, default))))
+                continue
+            if not stack or stack[-1].key != key:
+                stack.append(_Level(key))
+            stack[-1].add(path, rule, verdict)
+        if out:
+            kinds = [pa.int64(), *[pa.string()] * 4]
+            yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], ["page_id", "host", "path", "rule", "verdict"])
 
 
 def filter_urls(pages: DataFrame, rules: DataFrame, default: str = DEFAULT_VERDICT, rows_a_range: int = ROWS_A_RANGE) -> DataFrame:
@@ -137,8 +140,11 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = DEFAULT_VERDI
     cuts = _cuts(keyed, min(max(1, -(-count // rows_a_range)), MOST_RANGES), max(count, 1))
     good = rules.select(F.translate("host", _UPPER, _LOWER).alias("host"), "path", "verdict").dropna()
     named = good.select(host_key(F.col("host")).alias("key"), "path", F.concat("host", "path").alias("rule"), "verdict").where("key <> ''").distinct()
-    left, right = _ranges(keyed, cuts).groupBy("range"), _spread(named, cuts).groupBy("range")
-    return left.cogroup(right).applyInPandas(lambda u, r: sweep(u, r, default), "page_id long, host string, path string, rule string, verdict string")
+    null = lambda kind: F.lit(None).cast(kind)
+    urls = _ranges(keyed, cuts).select("range", "key", F.lit(True).alias("url"), "page_id", "host", "path", null("string").alias("rule"), null("string").alias("verdict"))
+    active = _spread(named, cuts).select("range", "key", F.lit(False).alias("url"), null("long").alias("page_id"), null("string").alias("host"), "path", "rule", "verdict")
+    both = urls.unionByName(active).repartition(len(cuts) + 1, "range").sortWithinPartitions("range", "key", "url")
+    return both.mapInArrow(lambda batches: sweep(batches, default), _RESULT)
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
