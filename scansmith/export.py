@@ -56,20 +56,32 @@ def _joined(objects: DataFrame) -> Iterator[str]:
         yield (",\n" if i else "") + r["json"]
 
 
+def sarif_frame(findings: DataFrame, tool: str = "scansmith") -> tuple[str, str]:
+    """What stands before and behind the results of a SARIF 2.1.0 document."""
+    driver = json.dumps({"name": tool, "rules": sarif_rules(findings, tool)})
+    return f'{{"$schema": "https://json.schemastore.org/sarif-2.1.0.json", "version": "2.1.0", "runs": [{{"tool": {{"driver": {driver}}}, "results": [\n', "\n]}]}\n"
+
+
 def sarif(findings: DataFrame, tool: str = "scansmith") -> Iterator[str]:
     """The pieces of a SARIF 2.1.0 document of all results."""
-    driver = json.dumps({"name": tool, "rules": sarif_rules(findings, tool)})
-    yield f'{{"$schema": "https://json.schemastore.org/sarif-2.1.0.json", "version": "2.1.0", "runs": [{{"tool": {{"driver": {driver}}}, "results": [\n'
+    head, tail = sarif_frame(findings, tool)
+    yield head
     yield from _joined(sarif_objects(findings, tool))
-    yield "\n]}]}\n"
+    yield tail
+
+
+def postman_frame(name: str) -> tuple[str, str]:
+    """What stands before and behind the items of a Postman 2.1 collection."""
+    info = json.dumps({"name": name, "schema": "https://schema.getpostman.com/json/collection/v2.1.0/collection.json"})
+    return f'{{"info": {info}, "item": [\n', "\n]}\n"
 
 
 def postman(findings: DataFrame, base: str = "", name: str = "Discovered endpoints") -> Iterator[str]:
     """The pieces of a Postman 2.1 collection of all items."""
-    info = json.dumps({"name": name, "schema": "https://schema.getpostman.com/json/collection/v2.1.0/collection.json"})
-    yield f'{{"info": {info}, "item": [\n'
+    head, tail = postman_frame(name)
+    yield head
     yield from _joined(postman_objects(findings, base))
-    yield "\n]}\n"
+    yield tail
 
 
 # ---- reports by category ---------------------------------------------------------------------------------------------
