@@ -1,4 +1,4 @@
-"""Functions for users of SQL: deobfuscate(text), shannon_entropy(text), and the table function js_calls(text)."""
+"""Functions for users of SQL: deobfuscate(text), shannon_entropy(text), and the table functions js_calls(text) and js_strings(text)."""
 
 from __future__ import annotations
 
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from scansmith.functions import text as T
-from scansmith.operators.calls import call_strings
+from scansmith.operators.calls import all_strings, call_strings
 
 _HEX, _UNICODE = re.compile(r"\\x([0-9a-fA-F]{2})"), re.compile(r"\\u([0-9a-fA-F]{4})")
 _ATOB, _BTOA, _SUM, _CODES = (re.compile(x) for x in (T._ATOB, T._BTOA, T._SUM, T._CODES))
@@ -53,10 +53,16 @@ class _Calls:
         yield from call_strings(text or "")
 
 
+class _Strings:
+    def eval(self, text: str) -> Iterator[tuple[str, int]]:
+        yield from all_strings(text or "")
+
+
 def register(spark: SparkSession) -> None:
     """Make the functions known to a session."""
     spark.udf.register("deobfuscate", _plain)
     spark.udtf.register("js_calls", F.udtf(_Calls, returnType="value string, line int"))
+    spark.udtf.register("js_strings", F.udtf(_Strings, returnType="value string, line int"))
     spark.sql(
         "CREATE OR REPLACE TEMPORARY FUNCTION shannon_entropy(v STRING) RETURNS DOUBLE RETURN "
         "aggregate(array_distinct(filter(split(v, ''), c -> c <> '')), 0D, (a, c) -> a - (length(v) - length(replace(v, c, ''))) / length(v) * log2((length(v) - length(replace(v, c, ''))) / length(v)))"

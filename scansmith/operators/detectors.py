@@ -46,11 +46,27 @@ def provider(host: Column) -> Column:
     return reduce(lambda c, e: c.when(F.endswith(host, F.lit(e[0])), e[1]), C.CDN_PROVIDERS[1:], F.when(F.endswith(host, F.lit(C.CDN_PROVIDERS[0][0])), C.CDN_PROVIDERS[0][1]))
 
 
-def cdn_summary(docs: DataFrame) -> DataFrame:
-    """(source, provider, count, domains): how often a document names hosts of each provider, and which."""
+def providers_of(hosts: DataFrame, table: DataFrame) -> DataFrame:
+    """(host, provider) of hosts (host) with the provider of table (ending, provider, ord) whose ending fits first; each host once.
+
+    A host's endings, of the lengths that the table has, meet the table in an equality join, however many rows that has.
+    """
+    rules = table.where("ending IS NOT NULL AND ending <> ''")
+    lengths = sorted(r["n"] for r in rules.select(F.length("ending").alias("n")).distinct().collect())  # a number a length
+    fits = F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda n: n <= F.length("host"))
+    ends = hosts.select("host").distinct().select("host", F.explode(F.transform(fits, lambda n: F.right("host", n))).alias("ending"))
+    return ends.join(rules, "ending").groupBy("host").agg(F.min_by("provider", F.struct("ord", "ending")).alias("provider"))
+
+
+def cdn_summary(docs: DataFrame, table: DataFrame | None = None) -> DataFrame:
+    """(source, provider, count, domains): how often a document names hosts of each provider, and which; of the known ones, or of a table (ending, provider, ord)."""
     hosts = docs.select("source", F.explode(F.regexp_extract_all("text", F.lit("https?://([a-zA-Z0-9.-]+)"), F.lit(1))).alias("host")).withColumn("host", F.lower("host"))
-    known = hosts.withColumn("provider", provider(F.col("host"))).where("provider IS NOT NULL")
-    return known.groupBy("source", "provider").agg(F.count("*").alias("count"), F.sort_array(F.collect_set("host")).alias("domains"))
+    if table is None:
+        known = hosts.withColumn("provider", provider(F.col("host"))).where("provider IS NOT NULL").withColumn("n", F.lit(1))
+    else:  # hosts are counted before they are joined, so a common one is a row a document
+        counted = hosts.groupBy("source", "host").agg(F.count("*").alias("n"))
+        known = counted.join(providers_of(counted, table), "host")
+    return known.groupBy("source", "provider").agg(F.sum("n").cast("long").alias("count"), F.sort_array(F.collect_set("host")).alias("domains"))
 
 
 def document_summary(docs: DataFrame) -> DataFrame:

@@ -113,6 +113,7 @@ def test_functions_for_sql(spark):
     assert spark.sql("SELECT deobfuscate('\\\\x2fa') AS t").first()["t"] == "/a"
     assert [round(r["e"], 9) for r in spark.sql("SELECT shannon_entropy(v) AS e FROM VALUES (''), ('aaaa'), ('abab'), ('a.b*')  AS t(v)").collect()] == [0, 0, 1, 2]
     assert spark.sql("""SELECT value, line FROM js_calls('fetch("/api/x")')""").collect() == [("/api/x", 1)]
+    assert spark.sql("""SELECT value, line FROM js_strings('x = {"k": "v"}')""").collect() == [("k", 1), ("v", 1)]
 
 
 def test_high_entropy_and_keys(spark):
@@ -141,6 +142,19 @@ def test_providers_and_frameworks(spark):
     assert [(r["n"], r["domains"]) for r in told.where("kind = 'provider' AND name LIKE '%Front%'").collect()] == [(2, 1)]
 
 
+def test_providers_of_a_table(spark):
+    """Many endings, held against the first that fits; an ending need not begin at a dot."""
+    rng = random.Random(4)
+    rules = [(f".p{rng.randrange(50_000)}.net", f"P{i}", i) for i in range(20_000)] + [("x.io", "X", 30_000), ("ax.io", "AX", 29_999), ("", "none", -1), (None, "none", -1)]
+    hosts = [f"a.p{rng.randrange(50_000)}.net" for _ in range(300)] + ["bax.io", "bx.io", "io", "x.io"]
+    docs = spark.createDataFrame([(f"d{i % 9}", f"see http://{h} and https://{h.upper()}/y") for i, h in enumerate(hosts)] + [("n", None)], "source string, text string")
+    out = cdn_summary(docs, spark.createDataFrame(rules, "ending string, provider string, ord int")).collect()
+    first = {h: next((p for e, p, _ in sorted(rules[:-2], key=lambda r: r[2]) if h.endswith(e)), None) for h in set(hosts)}
+    want = Counter((f"d{i % 9}", first[h]) for i, h in enumerate(hosts) if first[h])
+    assert {(r["source"], r["provider"]): r["count"] for r in out} == {k: 2 * n for k, n in want.items()}
+    assert {h for r in out for h in r["domains"]} == {h for h in hosts if first[h]}
+
+
 def test_call_strings():
     text = 'fetch("/api/x");\n// fetch("/api/no")\nfoo(`/api/t`);\napi.get(`/api/${id}/y`); var z = "/api/z";'
     assert call_strings(text) == [("/api/x", 1), ("/api/", 4)]
