@@ -12,7 +12,8 @@ Items shorter than a window have their whole word sequence as fingerprint, looke
 WINDOW - 1 lengths can occur.
 
 Defined results: null text has no words and is clean; an item without words or with a null item_id is no window; equal item
-numbers count once; repeated documents each get a row; an empty benchmark leaves all documents clean; other columns stay out.
+numbers count once; repeated documents each get a row; an empty benchmark leaves all documents clean; a very
+long text is hashed in pieces that end between words, whole; no documents give no rows; other columns stay out.
 """
 
 from __future__ import annotations

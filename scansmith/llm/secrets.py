@@ -10,7 +10,8 @@ pem (a private key to its END line; without one before the next BEGIN, to the en
 overlap; a match that fails its length or checksum still ends the search within it.
 
 Defined results: null and empty texts have no spans; whole texts are scanned whatever their length; every row is scanned by
-itself, so repeated rows give repeated results; other columns stay, but one named spans is replaced.
+itself, so repeated rows give repeated results; an empty table gives no rows;
+other columns stay, but one named spans is replaced.
 """
 
 from __future__ import annotations

@@ -13,7 +13,8 @@ every size, unless their group is over 1/SPLIT of a shard, and shards differ by
 group that is larger than that.
 
 Defined results: null text has size 1 and the checksum of no bytes; null doc_id sorts first; repeated rows each get a slot
-of their own; an empty table gives no rows; columns other than doc_id and text are ignored, and kept by `write_shards`.
+of their own; an empty table gives no rows; a very long text is one row of its size, never cut;
+columns other than doc_id and text are ignored, and kept by `write_shards`.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ a bounded number of them; the library encodes each piece that is not kept. A tex
 ``<|endoftext|>``, goes to the library whole, which gives that token its own ID.
 
 Defined results: null text is empty and has the end ID alone; very long texts are encoded whole, one at a time; repeated rows
-are written as often as they occur; a null doc_id sorts first and is stored as -1 with a flag file; no rows give no files.
+are written as often as they occur; a null doc_id sorts first and is stored as -1 with a flag file; no rows give no files;
+other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -11,7 +11,7 @@ with.
 The longest rule is the one with the most characters of host and path together, ties to the smaller text. Defined results:
 a null URL or one without ``://`` has empty host and path and fits no rule; rule rows with a null host, path or verdict are
 left out; of repeated rules block wins; with no rule the verdict is the method's default; repeated pages each get a row; no
-pages give no rows; other columns are ignored.
+pages give no rows; very long URLs are keys as they are; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
