@@ -1,7 +1,8 @@
 """A corpus pipeline: five stages, each one operator over all that its predecessor kept.
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame: all but the last one the columns of documents. Rows that a
-stage rejects are gone for the next one. Every stage takes null texts (as empty), repeated rows and empty tables.
+stage rejects are gone for the next one. Every stage takes null texts (as empty), repeated rows, very long texts (whole) and
+empty tables; columns that a document has besides stay up to the last stage, whatever their names.
 """
 
 from __future__ import annotations
