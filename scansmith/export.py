@@ -85,9 +85,12 @@ def postman(findings: DataFrame, base: str = "", name: str = "Discovered endpoin
 
 
 # ---- reports by category ---------------------------------------------------------------------------------------------
-def metadata(target: str, docs: DataFrame | None = None) -> dict:
-    """What a report says of its scan: time, target, and of docs (source, text) their number, frameworks and providers of content."""
-    out: dict = {"scan_time": datetime.datetime.now().isoformat(timespec="seconds"), "target": target}
+def metadata(target: str, docs: DataFrame | None = None, run: dict | None = None) -> dict:
+    """What a report says of its scan: time, target, and of docs (source, text) their number, frameworks and providers of content.
+
+    run: what `scan_run` tells of its files, among it how many were left out or had bytes that are no text.
+    """
+    out: dict = {"scan_time": datetime.datetime.now().isoformat(timespec="seconds"), "target": target} | ({"run": run} if run else {})
     if docs is not None:
         rows = detectors.document_summary(docs).collect()  # a row a framework and provider
         out["file_count"] = sum(r["n"] for r in rows if r["kind"] == "document")

@@ -49,6 +49,17 @@ def redacted(v: Column, fully: bool = False) -> Column:
     return F.lit("****REDACTED****") if fully else F.when(F.length(v) <= 4, "****").when(F.length(v) <= 12, ends(2)).otherwise(ends(4))
 
 
+#: What may not stand in a script's string as it is, and what stands for it; in this order.
+SCRIPT_ESCAPES = {"\\": "\\\\", "'": "\\'", '"': '\\"', "\n": "\\n", "\r": "\\r", "<": "\\x3c", ">": "\\x3e"}
+
+
+def script_string(v: Column) -> Column:
+    """v as it may stand between quotes in a script within a page."""
+    for bare, escaped in SCRIPT_ESCAPES.items():
+        v = F.replace(v, F.lit(bare), F.lit(escaped))
+    return v
+
+
 def shannon_entropy(v: Column) -> Column:
     """Bits a character, over code points; 0 for the empty string."""
     chars = F.filter(F.split(v, ""), lambda c: c != "")
@@ -77,6 +88,15 @@ def _replaced(text: Column, regex: str, by: Callable[[Column], Column]) -> Colum
     return F.array_join(F.zip_with(F.split(text, regex, -1), F.regexp_extract_all(text, F.lit(regex), F.lit(0)), lambda t, m: F.concat(t, F.coalesce(by(m), m, F.lit("")))), "")
 
 
+# Fixed value: what looks like a secret in free text.
+SECRET_LIKE = r"(?:ghp_|gho_|sk_live_|pk_live_|sk_test_|AKIA|xox[baprs]-|eyJ|sk-|Bearer\s+)[a-zA-Z0-9_\-./+=]{8,}"
+
+
+def redacted_text(text: Column) -> Column:
+    """Free text with all that looks like a secret shortened."""
+    return _replaced(text, SECRET_LIKE, redacted)
+
+
 def _of_utf16(units: Column) -> Column:
     """The text of hexadecimal UTF-16 units, each followed by a blank; half a pair becomes U+FFFD."""
     whole = F.regexp_replace(units, "(?i)\\b(?:d[89ab][0-9a-f]{2} (?!d[c-f])|(?<!\\bd[89ab][0-9a-f]{2} )d[c-f][0-9a-f]{2} )", "fffd ")

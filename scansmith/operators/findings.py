@@ -46,12 +46,16 @@ def normalized_endpoint(v: Column) -> Column:
     return F.when(at > 0, F.concat(F.substring(bare, F.lit(1), at), query)).otherwise(bare)
 
 
+def export_key() -> Column:
+    """What findings of one category are told apart by: the value, normalised if it is an endpoint."""
+    return F.when(F.col("category") == "endpoints", normalized_endpoint(F.col("value"))).otherwise(F.col("value"))
+
+
 def deduplicate(findings: DataFrame, keep_sources: bool = False) -> DataFrame:
     """One finding of each category and normalised value over all documents: the first by insertion; all sources, if asked for."""
-    norm = F.when(F.col("category") == "endpoints", normalized_endpoint(F.col("value"))).otherwise(F.col("value"))
     rest = [c for c in findings.columns if c not in ("category", *INSERTION)]
     more = [F.sort_array(F.collect_set("source")).alias("sources")] if keep_sources else []
-    best = findings.withColumn("norm", norm).groupBy("category", "norm").agg(F.min(F.struct(*INSERTION, *rest)).alias("x"), *more)
+    best = findings.withColumn("norm", export_key()).groupBy("category", "norm").agg(F.min(F.struct(*INSERTION, *rest)).alias("x"), *more)
     return best.select("category", "norm", "x.*", *(["sources"] if keep_sources else [])).drop("norm")
 
 

@@ -15,6 +15,8 @@ from scansmith.operators import calls, detectors, secrets_score
 from scansmith.operators import findings as R
 from scansmith.plans.scan import ScanOptions, checked, displayed, raw_matches, scan
 from scansmith.sources import files as S
+from scansmith.sources.state import shared_folder
+from scansmith.streaming import incremental as I
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -325,3 +327,39 @@ _add(
 )
 _add("ast_endpoints", lambda s, d: calls.call_endpoints(corpus(s, d)))
 _add("ast_scan", lambda s, d: _found(s, d, "endpoints", ast=True).select(_COLUMNS))
+
+
+# ---- totals that follow batches, of a corpus that comes in three --------------------------------------------------------
+def _followed(s: SparkSession, d: str) -> I.KeyedState:
+    state = I.running(s, shared_folder(s, "totals"))
+    docs = corpus(s, d)
+    for k in range(3):
+        batch = docs.where(F.pmod(F.xxhash64("source"), F.lit(3)) == k)
+        I.follow(state, scan(batch), k)
+    return state
+
+
+_add("running_findings", lambda s, d: I.running_findings(_followed(s, d)).select("category", "value", "source", "line"), ORACLE["findings_dedup_export"])
+_add(
+    "running_totals",
+    lambda s, d: I.running_totals(_followed(s, d)),
+    f"WITH a AS ({ORACLE['category_totals']}), k AS (SELECT category, COUNT(*) AS kept FROM ({ORACLE['findings_dedup_export']}) GROUP BY category) SELECT a.category, a.n, COALESCE(k.kept, (SELECT SUM(kept) FROM k)) AS kept FROM a LEFT JOIN k USING (category)",
+)
+
+# ---- free text ---------------------------------------------------------------------------------------------------------
+_LIKE = T.SECRET_LIKE.replace("\\s", "[\\t-\\r\\x1c-\\x20\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]")
+_SHOWN = "CASE WHEN length(m) > 12 THEN m[:4] || '...' || m[-4:] ELSE m[:2] || '...' || m[-2:] END"
+_PIECES = f"list_zip(string_split_regex(text, '{_LIKE}'), list_transform(regexp_extract_all(text, '{_LIKE}'), lambda m: {_SHOWN}))"
+_add(
+    "text_redaction",
+    lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", F.sha2(T.redacted_text(F.col("text")), 256).alias("redacted_sha256")),
+    f"SELECT doc_id, sha256(array_to_string(list_transform({_PIECES}, lambda p: p[1] || COALESCE(p[2], '')), '')) AS redacted_sha256 FROM documents",
+)
+_ESCAPED = "html"
+for _bare, _escaped in T.SCRIPT_ESCAPES.items():
+    _ESCAPED = f"replace({_ESCAPED}, {O.quoted(_bare) if _bare.isprintable() else f'chr({ord(_bare)})'}, {O.quoted(_escaped)})"
+_add(
+    "script_strings",
+    lambda s, d: s.read.parquet(f"{d}/pages.parquet").select("page_id", F.sha2(T.script_string(F.col("html")), 256).alias("escaped_sha256")),
+    f"SELECT page_id, sha256({_ESCAPED}) AS escaped_sha256 FROM pages",
+)

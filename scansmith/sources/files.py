@@ -13,9 +13,10 @@ from scansmith.functions.text import strip
 
 
 def decoded(content: Column) -> Column:
-    """Bytes as text: invalid UTF-8 is dropped, and every line end is a line feed."""
-    text = F.replace(F.make_valid_utf8(content.cast("string")), F.lit("�"), F.lit(""))
-    return F.regexp_replace(text, "\r\n?", "\n")
+    """Bytes as text: invalid UTF-8 is dropped (and with it U+FFFD of such a text), and every line end is a line feed."""
+    text = content.cast("string")
+    valid = F.when(F.is_valid_utf8(text), text).otherwise(F.replace(F.make_valid_utf8(text), F.lit("\ufffd"), F.lit("")))
+    return F.regexp_replace(valid, "\r\n?", "\n")
 
 
 def _relative(path: Column, root: str) -> Column:
@@ -100,14 +101,31 @@ def ignore_rules(spark: SparkSession, root: str) -> list[str]:
     return (small_text(spark, f"{root.rstrip('/')}/.gitignore") or "").splitlines()
 
 
-def script_files(spark: SparkSession, root: str, rules: list[str] | None = None) -> DataFrame:
-    """(path, length, content) of scripts below root, not in excluded folders, too large, or ignored. Only paths are tested before content is read."""
-    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.js").option("recursiveFileLookup", "true").load(root).where(F.col("length") <= MAX_FILE_BYTES)
+def listed(spark: SparkSession, root: str, rules: list[str] | None = None) -> DataFrame:
+    """(path, length, content, ...) of scripts of any size below root, not in excluded folders or ignored; content is read if it is used."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.js").option("recursiveFileLookup", "true").load(root)
     parts = F.split(F.regexp_replace("path", "^[a-z0-9]+:/*", "/"), "/")
     kept = found.where(~F.exists(parts, lambda p: p.isin(EXCLUDED_FOLDERS)))
     return kept.where(~ignored(_relative(F.col("path"), root), rules)) if rules else kept
 
 
+def script_files(spark: SparkSession, root: str, rules: list[str] | None = None) -> DataFrame:
+    """The scripts that are listed and not too large. Only paths and lengths are tested before content is read."""
+    return listed(spark, root, rules).where(F.col("length") <= MAX_FILE_BYTES)
+
+
+#: What may be wrong with a script: it is left out, or scanned without the bytes that are no text.
+TOO_LARGE, NO_TEXT = "too large", "bytes that are no text"
+
+
+def ledger(spark: SparkSession, root: str, rules: list[str] | None = None) -> DataFrame:
+    """(path, length, sha256, error) of all scripts that are listed. Those too large are not read and have no checksum."""
+    bad = F.when(~F.is_valid_utf8(F.col("content").cast("string")), NO_TEXT)
+    read = with_checksum(script_files(spark, root, rules)).select("path", "length", "sha256", bad.alias("error"))
+    large = listed(spark, root, rules).where(F.col("length") > MAX_FILE_BYTES)
+    return read.unionByName(large.select("path", "length", F.lit(None).cast("string").alias("sha256"), F.lit(TOO_LARGE).alias("error")))
+
+
 def with_checksum(files: DataFrame) -> DataFrame:
     return files.withColumn("sha256", F.sha2("content", 256))
 
@@ -125,10 +143,21 @@ def documents(files: DataFrame) -> DataFrame:
 _MANIFEST = "name string, version string, dependencies map<string,string>, devDependencies map<string,string>, scripts map<string,string>"
 
 
+def _is_object(text: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(F.try_parse_json(text)).startswith("OBJECT"), F.lit(False))
+
+
+def manifest_errors(texts: DataFrame) -> DataFrame:
+    """(path, error, text) of texts (path, text) that manifests leaves out, or of which it takes a field of another shape for none."""
+    whole = F.from_json("text", f"{_MANIFEST}, _bad string", {"columnNameOfCorruptRecord": "_bad"})
+    error = F.when(~_is_object(F.col("text")), "no JSON object").when(whole["_bad"].isNotNull(), "a field of another shape")
+    return texts.select("path", error.alias("error"), "text").where("error IS NOT NULL")
+
+
 def manifests(texts: DataFrame) -> DataFrame:
     """(path, name, version, dependencies, devDependencies, scripts) of texts (path, text) that hold a package manifest."""
     empty = F.create_map().cast("map<string,string>")
-    read = texts.select("path", F.from_json("text", _MANIFEST).alias("m")).where("m IS NOT NULL")
+    read = texts.where(_is_object(F.col("text"))).select("path", F.from_json("text", _MANIFEST).alias("m"))
     maps = {c: F.coalesce(f"m.{c}", empty) for c in ("dependencies", "devDependencies", "scripts")}
     return read.select("path", F.coalesce("m.name", F.lit("unknown")).alias("name"), F.coalesce("m.version", F.lit("0.0.0")).alias("version"), *(x.alias(c) for c, x in maps.items()))
 
