@@ -31,3 +31,9 @@ def test_versions_share_a_shuffle(spark, folder):
     assert out.count() == 50
     out.collect()
     assert "ReusedExchange" in plan_of(out)
+
+
+def test_top_scans_once(spark, folder):
+    """Tops and totals both read findings that are there."""
+    plan = plan_of(QUERIES["top20_per_category_some"](spark, folder))
+    assert "orders.parquet" not in plan and "Generate" not in plan
