@@ -1,9 +1,11 @@
 """Scans that are made once, and corpora dealt by what they are grouped by."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from scansmith import corpus as D
-from scansmith.plans.scan import ScanOptions, scan
+from scansmith.operators.match import candidates, gates, present
+from scansmith.plans.scan import ScanOptions, patterns_of, scan
 from scansmith.queries import QUERIES
 
 
@@ -37,3 +39,17 @@ def test_top_scans_once(spark, folder):
     """Tops and totals both read findings that are there."""
     plan = plan_of(QUERIES["top20_per_category_some"](spark, folder))
     assert "orders.parquet" not in plan and "Generate" not in plan
+
+
+def test_gates_pass_over_patterns(spark):
+    """A text meets fewer searches than there are needles, and the same patterns."""
+    patterns = patterns_of(ScanOptions(entropy=True, frameworks=True))
+    groups = gates(patterns)
+    assert sorted(k for places in groups.values() for k in places) == list(range(len(patterns)))
+    assert len(groups) < 0.6 * len(patterns)
+    needles = sorted({n for p in patterns for n in p.needles})
+    texts = ["", "none", "/", "://", *needles, *(n[1:] for n in needles), *(a + b for a, b in zip(needles, needles[7:]))]
+    low = F.col("low")
+    found = spark.createDataFrame([(t,) for t in texts], "low string").select("low", candidates(low, patterns, [present(low, p) for p in patterns]).alias("places"))
+    want = {t: [k for k, p in enumerate(patterns) if not p.needles or any(n in t for n in p.needles)] for t in texts}
+    assert {r["low"]: sorted(r["places"]) for r in found.collect()} == want
