@@ -86,3 +86,9 @@ def test_pieces_between_matches(spark):
         ends = [*(m.start() for m in found[1:]), len(r["t"])][: len(found)]
         want = [(i, m[0], r["t"][: m.start()].count("\n") + 1, r["t"][m.end() : e]) for i, (m, e) in enumerate(zip(found, ends, strict=True))]
         assert [(m["match_ord"], m["value"], m["line"], m["after"]) for m in r["m"] or []] == want
+
+
+@pytest.mark.parametrize("name", ["sarif_results_some"])
+def test_findings_that_are_read_again_are_written(spark, folder, name):
+    plan = plan_of(QUERIES[name](spark, folder))
+    assert "orders.parquet" not in plan and "Generate" not in plan
