@@ -88,7 +88,7 @@ def test_pieces_between_matches(spark):
         assert [(m["match_ord"], m["value"], m["line"], m["after"]) for m in r["m"] or []] == want
 
 
-@pytest.mark.parametrize("name", ["sarif_results_some"])
+@pytest.mark.parametrize("name", ["sarif_results_some", "postman_items"])
 def test_findings_that_are_read_again_are_written(spark, folder, name):
     plan = plan_of(QUERIES[name](spark, folder))
     assert "orders.parquet" not in plan and "Generate" not in plan
